@@ -14,4 +14,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+    return pack(docs, tokenizer, ranks)
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+}
