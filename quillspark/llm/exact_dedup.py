@@ -50,8 +50,8 @@ def _segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (segments - 1)
 
 
-def _local_pass(segments: int):
-    """Of one task: for each segment its distinct hashes, and which of them came twice."""
+def _local_pass(segments: int, least: int):
+    """Of one task: for each segment its distinct hashes, and which of them came ``least`` times."""
 
     def run(batches):
         parts, held = [], 0
@@ -67,7 +67,7 @@ def _local_pass(segments: int):
                 {
                     "segment": pa.array(ids, pa.int64()),
                     "hashes": pa.array([h[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                    "twice": pa.array([(n[a:b] > 1).tobytes() for a, b in zip(at, ends)], pa.binary()),
+                    "twice": pa.array([(n[a:b] >= least).tobytes() for a, b in zip(at, ends)], pa.binary()),
                 }
             )
 
@@ -112,14 +112,14 @@ def _merge_pass(segments: int, filter_bits: int):
     return run
 
 
-def repeated_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+def value_filter(hashes: DataFrame, rows: int, least: int = 2) -> tuple[np.ndarray, int]:
     """The Bloom filter of the values that ``hashes`` (one long column) may hold
-    more than once, as packed bits, and its number of segments."""
+    ``least`` times (1 or 2), as packed bits, and its number of segments."""
     spark = hashes.sparkSession
     filter_bits = min(MAX_FILTER_BITS, max(1 << 13, _power_of_two(8 * rows)))
     segments = min(_power_of_two(rows / SEGMENT_HASHES * 4), filter_bits >> 9)
     segments = max(16, segments)
-    local = hashes.mapInArrow(_local_pass(segments), "segment long, hashes binary, twice binary")
+    local = hashes.mapInArrow(_local_pass(segments, least), "segment long, hashes binary, twice binary")
     dealt = local.repartition(min(segments, shuffle_partitions(spark)), "segment").sortWithinPartitions("segment")
     merged = dealt.mapInArrow(_merge_pass(segments, filter_bits), "segment long, bits binary")
     packed = np.zeros(filter_bits // 8, np.uint8)
@@ -129,7 +129,9 @@ def repeated_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return packed, segments
 
 
-def _maybe_repeated(packed_broadcast, segments: int):
+def may_hold(packed_broadcast, segments: int):
+    """A UDF that tests a long column against a broadcast filter."""
+
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         packed = packed_broadcast.value
@@ -159,8 +161,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     tag = "__quill"
     hashed = docs.withColumn(f"{tag}_sha", F.sha2(ascii_lower(text_or_empty(F.col(text))), 256))
     hashed = hashed.withColumn(f"{tag}_h", F.xxhash64(f"{tag}_sha"))
-    packed, segments = repeated_filter(hashed.select(f"{tag}_h"), docs.count())
-    maybe = _maybe_repeated(spark.sparkContext.broadcast(packed), segments)
+    packed, segments = value_filter(hashed.select(f"{tag}_h"), docs.count())
+    maybe = may_hold(spark.sparkContext.broadcast(packed), segments)
     hashed = hashed.withColumn(f"{tag}_maybe", maybe(f"{tag}_h"))
     single = (
         hashed.where(~F.col(f"{tag}_maybe"))
