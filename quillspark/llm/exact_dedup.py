@@ -124,7 +124,7 @@ def value_filter(hashes: DataFrame, rows: int, least: int = 2) -> tuple[np.ndarr
     merged = dealt.mapInArrow(_merge_pass(segments, filter_bits), "segment long, bits binary")
     packed = np.zeros(filter_bits // 8, np.uint8)
     width = filter_bits // segments // 8
-    for row in merged.toLocalIterator():  # filter_bits / 8 bytes in all, by construction
+    for row in merged.collect():  # filter_bits / 8 bytes in all, by construction
         packed[row.segment * width:(row.segment + 1) * width] = np.frombuffer(row.bits, np.uint8)
     return packed, segments
 
