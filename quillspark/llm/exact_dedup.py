@@ -15,13 +15,16 @@ it gets fuller and more rows take the shuffled path, with the same result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, shuffle_partitions, text_or_empty
+from .common import arrow_rows, shuffle_partitions
+from .textvec import string_bytes
 
 #: 32 MiB: the most that pass 2 broadcasts.
 MAX_FILTER_BITS = 1 << 28
@@ -132,18 +135,27 @@ def value_filter(hashes: DataFrame, rows: int, least: int = 2) -> tuple[np.ndarr
 def may_hold(packed_broadcast, segments: int):
     """A UDF that tests a long column against a broadcast filter."""
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.BooleanType())
+    def maybe(h: pa.Array) -> pa.Array:
         packed = packed_broadcast.value
         chunk_bits = len(packed) * 8 // segments
-        v = h.to_numpy().view(np.uint64)
+        v = h.to_numpy(zero_copy_only=False).view(np.uint64)
         at = _positions(_remixed(v), chunk_bits) + _segment_of(v, segments)[None, :] * chunk_bits
         bit = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return pd.Series(bit.all(axis=0))
+        return pa.array(bit.all(axis=0))
 
     return maybe
 
 
+@F.arrow_udf(T.StringType())
+def lowered_sha256(text: pa.Array) -> pa.Array:
+    """Hex SHA-256 of each text's UTF-8 after lower-casing A-Z only (null: empty)."""
+    data, at = string_bytes(text)
+    view = memoryview(data)
+    # bytes.lower() changes ASCII letters alone
+    return pa.array([hashlib.sha256(bytes(view[a:b]).lower()).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string())
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``text_sha256``, ``keep_id``, ``group_size`` and ``kept``.
 
@@ -156,10 +168,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    arrow_rows(spark)
     results = ("text_sha256", "keep_id", "group_size", "kept")
     docs = docs.drop(*(c for c in results if c not in (text, doc_id)))
     tag = "__quill"
-    hashed = docs.withColumn(f"{tag}_sha", F.sha2(ascii_lower(text_or_empty(F.col(text))), 256))
+    hashed = docs.withColumn(f"{tag}_sha", lowered_sha256(F.col(text)))
     hashed = hashed.withColumn(f"{tag}_h", F.xxhash64(f"{tag}_sha"))
     packed, segments = value_filter(hashed.select(f"{tag}_h"), docs.count())
     maybe = may_hold(spark.sparkContext.broadcast(packed), segments)
