@@ -29,7 +29,7 @@ from .textvec import string_bytes
 #: 32 MiB: the most that pass 2 broadcasts.
 MAX_FILTER_BITS = 1 << 28
 SEGMENT_HASHES = 1 << 16
-SEGMENT_BITS = 1 << 20
+SEGMENT_BITS = (1 << 20, 1 << 25)
 PROBES = 4
 
 
@@ -86,7 +86,7 @@ def _local_pass(segments: int, least: int):
     return run
 
 
-def _merge_pass(segments: int, filter_bits: int):
+def _merge_pass(segments: int, filter_bits: int, seen_bits: int):
     """Streams a task's segments, one "seen" filter at a time; emits filter chunks."""
     chunk_bits = filter_bits // segments
 
@@ -103,9 +103,9 @@ def _merge_pass(segments: int, filter_bits: int):
                 if seg != current:
                     if current is not None and marked.any():
                         yield done()
-                    current, seen, marked = seg, np.zeros(SEGMENT_BITS, bool), np.zeros(chunk_bits, bool)
+                    current, seen, marked = seg, np.zeros(seen_bits, bool), np.zeros(chunk_bits, bool)
                 h = np.frombuffer(hashes, np.uint64)
-                at = _positions(h, SEGMENT_BITS)
+                at = _positions(h, seen_bits)
                 again = seen[at].all(axis=0) | np.frombuffer(twice, bool)
                 seen[at] = True
                 marked[_positions(_remixed(h[again]), chunk_bits)] = True
@@ -124,7 +124,8 @@ def value_filter(hashes: DataFrame, rows: int, least: int = 2) -> tuple[np.ndarr
     segments = max(16, segments)
     local = hashes.mapInArrow(_local_pass(segments, least), "segment long, hashes binary, twice binary")
     dealt = local.repartition(min(segments, shuffle_partitions(spark)), "segment").sortWithinPartitions("segment")
-    merged = dealt.mapInArrow(_merge_pass(segments, filter_bits), "segment long, bits binary")
+    seen_bits = min(max(_power_of_two(16 * rows / segments), SEGMENT_BITS[0]), SEGMENT_BITS[1])
+    merged = dealt.mapInArrow(_merge_pass(segments, filter_bits, seen_bits), "segment long, bits binary")
     packed = np.zeros(filter_bits // 8, np.uint8)
     width = filter_bits // segments // 8
     for row in merged.collect():  # filter_bits / 8 bytes in all, by construction
