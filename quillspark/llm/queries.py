@@ -38,9 +38,20 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit_on(docs, table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, model)
+    predicted = (scored["score"] >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
