@@ -5,7 +5,9 @@ minwise tokens. In each of ``TREES`` independent trees a node picks one of these
 coordinates (every fourth time, on average, two: 1 / similarity branches for 0.8)
 and sends each of its documents to the child named by the document's token
 there. Nodes of up to ``SMALL`` documents are compared exhaustively, by sketch
-first; larger ones test their documents against one leader and branch again.
+first. A larger one tests its documents against one leader; if then all but
+``OUTSIDE`` of them are in one component, these are compared with all, block by
+block, and otherwise it branches again.
 A pair of similarity s shares a chosen child with probability s or more, so by
 ``TREES`` repetitions a link is missed with a probability of about 1e-6 where
 the second level ends its branch, and 3e-4 where the fourth does.
@@ -15,7 +17,8 @@ What keeps groups of copies cheap:
 * documents with equal sets are one vertex from the start;
 * a node whose documents are already in one component is finished, so a mass of
   near copies ends with its leader's star and isn't compared pair by pair;
-* small nodes only compare documents of different components.
+* otherwise only documents of different components are compared, and of two
+  components the likeliest pair is confirmed first, which mostly settles the rest.
 
 Candidates are confirmed on the full shingle sets. No bucket, partner or
 candidate is capped, nothing but a size-bounded Bloom filter is broadcast, and
@@ -40,7 +43,9 @@ from .exact_dedup import may_hold, value_filter
 
 COORDINATES = 64
 TREES = 12
-SMALL = 128
+SMALL = 256
+OUTSIDE = 1024
+BLOCK = 2048
 _RNG = np.random.Generator(np.random.PCG64(0xC405E4))
 _A = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -164,33 +169,41 @@ def _by_sketch(similarity: float):
     return run
 
 
-def _within(similarity: float):
-    """All pairs of different components in small nodes that pass the sketches."""
+def _pairs_between(similarity: float):
+    """All pairs of different components between two lists of documents (or inside
+    one: ``others`` null) that pass the sketches, with their equal sketch bytes."""
     least = _least_matches(similarity)
 
     def run(batches):
         for batch in batches:
-            left, right = [], []
-            for members in batch.column(0):
-                values = members.values
-                ids = values.field("id").to_numpy(zero_copy_only=False)
-                component = values.field("component").to_numpy(zero_copy_only=False)
-                n = values.field("n").to_numpy(zero_copy_only=False)
-                s = _matrix(values.field("sketch"), np.uint8)
-                for i in range(1, len(ids)):
-                    fine = (component[:i] != component[i]) & (np.minimum(n[:i], n[i]) >= similarity * np.maximum(n[:i], n[i]) - 1e-9)
+            left, right, matches = [], [], []
+            for members, others in zip(batch.column(0), batch.column(1)):
+                ids, component, n, s = _listed(members.values)
+                if others.is_valid:
+                    rows = zip(*_listed(others.values), [len(ids)] * len(others.values))
+                else:
+                    rows = zip(ids, component, n, s, range(len(ids)))
+                for i, c, k, sketch, upto in rows:
+                    fine = (component[:upto] != c) & (np.minimum(n[:upto], k) >= similarity * np.maximum(n[:upto], k) - 1e-9)
                     at = np.flatnonzero(fine)
-                    at = at[(s[at] == s[i]).sum(axis=1) >= least]
-                    left.append(np.minimum(ids[at], ids[i]))
-                    right.append(np.maximum(ids[at], ids[i]))
+                    same = (s[at] == sketch).sum(axis=1)
+                    at, same = at[same >= least], same[same >= least]
+                    left.append(np.minimum(ids[at], i))
+                    right.append(np.maximum(ids[at], i))
+                    matches.append(same)
             empty = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([empty, *left])), pa.array(np.concatenate([empty, *right]))], ["a", "b"]
+                [pa.array(np.concatenate([empty, *x])) for x in (left, right, matches)], ["a", "b", "same"]
             )
 
     return run
 
 
+def _listed(values: pa.StructArray) -> tuple[np.ndarray, ...]:
+    numbers = [values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n")]
+    return *numbers, _matrix(values.field("sketch"), np.uint8)
+
+
 def _confirm(words: int, share: tuple[int, int]):
     """Of (a, b, ta, tb) the pairs with |A & B| / |A | B| >= share on the full sets."""
     num, den = share
@@ -256,37 +269,62 @@ class _Join:
             return rows.withColumn("component", F.col("id"))
         return rows.join(self.component, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+    def compared(self, nodes: DataFrame, small: bool) -> DataFrame:
+        """Candidate pairs of nodes that end here: small ones in themselves, large
+        ones between the documents outside their main component and all others."""
+        member = F.collect_list(F.struct("id", "component", "n", "sketch"))
+        nodes = nodes.join(self.vertices.select("id", "n", "sketch"), "id")
+        if small:
+            lists = nodes.groupBy("path").agg(member.alias("members"))
+            lists = lists.select("members", F.lit(None).cast(lists.schema["members"].dataType).alias("others"))
+        else:
+            outside = nodes.where("component <> main").groupBy("path").agg(member.alias("others"))
+            block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+            blocks = nodes.groupBy("path", block.alias("block")).agg(member.alias("members"))
+            lists = blocks.join(outside, "path").select("members", "others")
+        return lists.mapInArrow(_pairs_between(self.similarity), "a long, b long, same long")
+
+    def level(self, nodes: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs of one level of the trees, and the nodes below it."""
+        shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
+        nodes = materialise(nodes.join(shared.where("size > 1"), "path"), "nodes")
+        star = nodes.where("id <> leader")
+        if not first:
+            star = star.where(F.col("size") > SMALL)
+        star = star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        self.try_pairs(self.by_sketch(star))
+
+        nodes = self.labelled(nodes.select("path", "id", "size"))
+        parts = nodes.groupBy("path", "size", "component").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.groupBy("path", "size").agg(F.max("n").alias("most"), F.max_by("component", "n").alias("main"))
+        parts = parts.where("most < size").withColumn("outside", F.col("size") - F.col("most"))
+        nodes = materialise(nodes.drop("size").join(parts, "path"), "open-nodes")
+        small, ends = F.col("size") <= SMALL, F.col("outside") <= OUTSIDE
+        pairs = self.compared(nodes.where(small), True).unionByName(self.compared(nodes.where(~small & ends), False))
+        pairs = materialise(pairs.distinct(), "candidates")
+        large = nodes.where(~small & ~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
+        return pairs, materialise(large.mapInArrow(_branch, "path long, id long"), "branches")
+
     def run(self) -> DataFrame | None:
         nodes = self.vertices.select("id", "tokens").mapInArrow(_roots, "path long, id long")
-        later: DataFrame | None = None
-        level = 1
-        while True:
-            shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
-            nodes = materialise(nodes.join(shared.where("size > 1"), "path"), "nodes")
-            star = nodes.where("id <> leader")
-            if level > 1:
-                star = star.where(F.col("size") > SMALL)
-            star = star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            self.try_pairs(self.by_sketch(star))
-            nodes = self.labelled(nodes.select("path", "id", "size"))
-            mixed = nodes.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-            nodes = nodes.join(mixed.select("path"), "path")
-            small = nodes.where(F.col("size") <= SMALL).join(self.vertices.select("id", "n", "sketch"), "id")
-            small = small.groupBy("path").agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("members"))
-            pairs = small.select("members").mapInArrow(_within(self.similarity), "a long, b long").distinct()
-            pairs = materialise(pairs, "candidates")
-            later = pairs if later is None else later.unionByName(pairs)
-            large = nodes.where(F.col("size") > SMALL).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
-            nodes = materialise(large.mapInArrow(_branch, "path long, id long"), "branches")
-            if nodes.isEmpty():
-                break
-            level += 1
-        later = later.distinct()
-        a = self.labelled(later.withColumnRenamed("a", "id")).withColumnsRenamed({"id": "a", "component": "ca"})
-        b = self.labelled(a.withColumnRenamed("b", "id")).withColumnsRenamed({"id": "b", "component": "cb"})
-        self.try_pairs(b.where("ca <> cb").select("a", "b"))
+        later, nodes = self.level(nodes, True)
+        while not nodes.isEmpty():
+            more, nodes = self.level(nodes, False)
+            later = later.unionByName(more)
+        later = materialise(later.distinct(), "all-candidates")
+        # of two components the likeliest pair first: mostly it settles all others
+        apart = self.between(later)
+        best = apart.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "same").alias("p"))
+        if self.try_pairs(best.select("p.a", "p.b")):
+            apart = self.between(later)
+        self.try_pairs(apart.select("a", "b"))
         return self.component
 
+    def between(self, pairs: DataFrame) -> DataFrame:
+        a = self.labelled(pairs.withColumnRenamed("a", "id")).withColumnsRenamed({"id": "a", "component": "ca"})
+        b = self.labelled(a.withColumnRenamed("b", "id")).withColumnsRenamed({"id": "b", "component": "cb"})
+        return b.where("ca <> cb").select("a", "b", "same", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+
 
 def near_duplicates(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, share: tuple[int, int] = (4, 5),
