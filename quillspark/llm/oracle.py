@@ -4,7 +4,24 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_CONTROL = r"([\[<])(\\*)(/?(?:s|INST|TURN|TEXT|PART|IMAGE|AUDIO|DOCUMENT)[\]>])"
+_ESCAPED_LENGTH = "length(regexp_replace({0}, '" + _CONTROL + r"', '\1\\\2\3', 'g'))"
+
 ORACLE = {
+    "op2_chat_formatting": f"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+            union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        joined as (
+            select conv_id, count(*) as n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+                   coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '') as loss,
+                   cast(3 + sum(16 + {_ESCAPED_LENGTH.format("role")} + {_ESCAPED_LENGTH.format("text")}) as bigint) as formatted_chars
+            from turns group by conv_id)
+        select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars,
+               sha256(loss) as loss_sha256, formatted_chars
+        from joined""",
     "op8_exact_dedup": f"""
         with hashed as (select doc_id, sha256({_LOWER}) as text_sha256 from documents)
         select doc_id,
