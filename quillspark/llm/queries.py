@@ -25,6 +25,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer, ranks)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text, fit_on
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = extract_main_text(pages, fit_on(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -82,6 +90,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_extraction": op6_html_extraction,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
