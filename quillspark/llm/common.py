@@ -41,7 +41,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    # shuffles behind a written table aren't needed again; a collection lets Spark's cleaner drop them
+    spark._jvm.java.lang.System.gc()
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote; nothing may read them any more."""
+    for df in written:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import arrow_rows, materialise
+from .common import arrow_rows, discard, materialise
 from .exact_dedup import may_hold, value_filter
 from .suffix_sort import adjacent_lcp, suffix_order
 
 LEAST = 200
 #: Distinct contexts of one anchor hash that one task sorts together.
-LARGE = 20_000
+LARGE = 120_000
 #: Contexts that one task sorts at a time.
 TOGETHER = 16_384
 
@@ -103,7 +103,7 @@ def gram(least: int) -> tuple[int, int]:
 def _anchor_rows(least: int):
     def run(batches):
         for batch in batches:
-            for part in textvec.chunks(batch, "text"):
+            for part in textvec.chunks(batch, "text", 1 << 19):
                 data, offsets = textvec.string_bytes(part.column("text"))
                 at, owner, h, _, _, context = anchors(data, offsets, least)
                 view = memoryview(data)
@@ -124,7 +124,7 @@ def _context_rows(least: int, wanted, segments: int):
         hold = membership(wanted.value, segments)
         sent: set[int] = set()
         for batch in batches:
-            for part in textvec.chunks(batch, "text"):
+            for part in textvec.chunks(batch, "text", 1 << 19):
                 data, offsets = textvec.string_bytes(part.column("text"))
                 at, owner, h, a, b, context = anchors(data, offsets, least)
                 both = textvec.mixed(h * np.uint64(3) + context)
@@ -274,7 +274,9 @@ def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE)
     found = materialise(texts.mapInArrow(_anchor_rows(least), "key binary, pos long, h long, c long"), "anchors")
     packed, segments = value_filter(found.select("h"), found.count())
     twice = may_hold(spark.sparkContext.broadcast(packed), segments)
+    all_anchors = found
     found = materialise(found.where(twice("h")), "repeated-anchors")
+    discard(all_anchors)
     contexts = materialise(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "contexts")
     hashes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest"))
     hashes = hashes.where("kinds > 1 and fewest = 1").select("h", "kinds")
@@ -287,13 +289,18 @@ def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE)
     wanted = spark.sparkContext.broadcast(packed)
     rows = texts.mapInArrow(_context_rows(least, wanted, segments), "h long, c long, key binary, pos long, left long, context binary")
     rows = rows.join(ends, ["h", "c"])
+    many = not hashes.where(F.col("kinds") > large).isEmpty()
+    if many:
+        rows = materialise(rows, "context-rows")
     small = rows.where(F.col("kinds") <= large).select("h", "n", "key", "pos", "left", "context")
     small = small.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_reach(least), "key binary, lo long, hi long")
-    spans = whole.unionByName(small)
-    if not hashes.where(F.col("kinds") > large).isEmpty():
-        spans = spans.unionByName(_counted_reach(rows.where(F.col("kinds") > large), least))
-    spans = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return materialise(spans, "spans")
+    if many:
+        small = small.unionByName(_counted_reach(rows.where(F.col("kinds") > large), least))
+    ends_of_repeats = materialise(small, "ends-of-repeats")
+    spans = whole.unionByName(ends_of_repeats).distinct()
+    spans = materialise(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(found, contexts, ends, ends_of_repeats)
+    return spans
 
 
 def _pair_hash():
