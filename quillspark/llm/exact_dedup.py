@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, shuffle_partitions
+from .common import arrow_rows, materialise, shuffle_partitions
 from .textvec import string_bytes
 
 #: 32 MiB: the most that pass 2 broadcasts.
@@ -189,6 +189,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         again.groupBy(F.col(f"{tag}_sha").alias(f"{tag}_group"))
         .agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
+    groups = materialise(groups, "groups")  # so that both sides of the join are plain exchanges, which can be split
     again = again.join(groups, F.col(f"{tag}_sha") == F.col(f"{tag}_group")).drop(f"{tag}_group")
     out = single.unionByName(again).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
     return out.drop(f"{tag}_sha", f"{tag}_h", f"{tag}_maybe")

@@ -343,6 +343,7 @@ def near_duplicates(
     sets = materialise(texts.mapInArrow(_embed(words), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
     linked = sets.where("id is not null and n > 0")
     groups = linked.groupBy("k1", "k2").agg(F.min("id").alias("first"))
+    groups = materialise(groups, "groups")
     members = materialise(linked.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "n", "first"), "members")
     chosen = linked.join(groups, ["k1", "k2"]).where("id = first")
     sketch = F.concat(*(F.substring("tokens", 4 * i + 1, 1) for i in range(COORDINATES)))

@@ -84,6 +84,30 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score", predicted)
 
 
+def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .viterbi import encode, read_back
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = docs.select("doc_id", "text", read_back(F.col("ids"), model).alias("r"))
+    same = (F.col("r.text") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return docs.select("doc_id", "r.n_ids", F.col("r.crc32").alias("ids_crc32"), same)
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import scratch_path
+    from .token_shards import read_slots, write_shards
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+    layout = write_shards(docs, scratch_path(spark, "token-shards"), tokenizer, ranks, key=20_240_601)
+    return read_slots(spark, layout).select("slot", "shard", "position", "sequence", "n_tokens", "ids_crc32", "slot_is_keyed")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -93,4 +117,6 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_shards": op10_token_shards,
+    "op9_sentencepiece_viterbi": op9_sentencepiece_viterbi,
 }

@@ -29,7 +29,7 @@ from .common import arrow_rows
 BLANK = "▁"
 #: Below the lowest piece score: what a byte-fallback letter costs for each byte.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Segments longer than this are streamed in parts and not remembered.
 LONG_SEGMENT = 4096
 
@@ -44,7 +44,7 @@ class Vocabulary:
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.byte_ids = [0] * 256
-        self.trie: dict = {}
+        self.trie: dict[str, list] = {}  # letter: [children, score of the piece that ends here or None, its id]
         self.longest = 1
         scores = {}
         self.bytes_of = [b""] * n
@@ -58,10 +58,11 @@ class Vocabulary:
         lowest = min(s for s, _ in scores.values())
         self.unknown = lowest - UNKNOWN_PENALTY
         for piece, entry in scores.items():
-            node = self.trie
+            children = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = entry
+                node = children.setdefault(c, [{}, None, -1])
+                children = node[0]
+            node[1:] = entry
             self.longest = max(self.longest, len(piece))
         inner = re.compile(f"[^{BLANK}]{BLANK}|\n")
         self.splits = not any(inner.search(p) for p in scores)
@@ -91,7 +92,7 @@ class StreamingViterbi:
     def finish(self) -> list[int]:
         self._advance(len(self.text))
         out = self._ids(len(self.text))
-        self.__init__(self.v)
+        self.base, self.text, self.best, self.back, self.done = 0, "", [0.0], [(-1, -1)], 0
         return out
 
     def _grow(self, part: str) -> None:
@@ -103,24 +104,23 @@ class StreamingViterbi:
     def _advance(self, upto: int) -> None:
         text, best, back, trie, n = self.text, self.best, self.back, self.v.trie, len(self.text)
         for i in range(self.done, upto):
-            here, node, j, single = best[i], trie, i, False
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
-                    break
-                j += 1
-                entry = node.get("")
-                if entry is not None:
-                    single = single or j == i + 1
-                    s = here + entry[0]
-                    if s > best[j]:
-                        best[j] = s
-                        back[j] = (i, entry[1])
-            if not single:
+            here, children = best[i], trie
+            node = trie.get(text[i])
+            if node is None or node[1] is None:
                 s = here + self.v.unknown * len(text[i].encode("utf-8", "surrogatepass"))
                 if s > best[i + 1]:
                     best[i + 1] = s
                     back[i + 1] = (i, -1)
+            for j in range(i, n):
+                node = children.get(text[j])
+                if node is None:
+                    break
+                children, score, piece = node
+                if score is not None:
+                    s = here + score
+                    if s > best[j + 1]:
+                        best[j + 1] = s
+                        back[j + 1] = (i, piece)
         self.done = max(self.done, upto)
 
     def _commit(self) -> list[int]:
@@ -144,15 +144,16 @@ class StreamingViterbi:
         return out
 
     def _ids(self, end: int) -> list[int]:
-        path = []
+        path: list[int] = []
         while end > 0:
             start, piece = self.back[end]
             if piece >= 0:
-                path.append((piece,))
+                path.append(piece)
             else:
-                path.append(tuple(self.v.byte_ids[b] for b in self.text[start:end].encode("utf-8", "surrogatepass")))
+                path += [self.v.byte_ids[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass"))]
             end = start
-        return [i for ids in reversed(path) for i in ids]
+        path.reverse()
+        return path
 
 
 class PieceEncoder:
@@ -227,15 +228,20 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", name: str = "id
     return docs.withColumn(name, run(F.col(text)))
 
 
-def decoded(ids: Column, model_file: str) -> Column:
-    @F.arrow_udf(T.StringType())
+_READ = T.StructType([T.StructField("n_ids", T.LongType()), T.StructField("crc32", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def read_back(ids: Column, model_file: str) -> Column:
+    """Of encoded ids a struct: how many, their CRC-32, and the text they stand for."""
+
+    @F.arrow_udf(_READ)
     def run(column: pa.Array) -> pa.Array:
         enc = piece_encoder(model_file)
-        return pa.array([enc.decode(x.as_py() or b"") for x in column], pa.string())
+        raw = [x.as_py() or b"" for x in column]
+        columns = [
+            pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+            pa.array([enc.decode(x) for x in raw], pa.string()),
+        ]
+        return pa.StructArray.from_arrays(columns, ["n_ids", "crc32", "text"])
 
     return run(ids)
-
-
-@F.arrow_udf(T.LongType())
-def ids_crc32(column: pa.Array) -> pa.Array:
-    return pa.array([zlib.crc32(x.as_py() or b"") for x in column], pa.int64())
