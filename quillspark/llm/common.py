@@ -2,60 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import discard, materialise, scratch_path, shared_dir
 from ..shipping import ship
 
+__all__ = ["arrow_rows", "discard", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder of this machine is used.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get("quillspark.scratch.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("quillspark.scratch.dir", own)
-    return own.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there,
-    and the rows (with any partition-dependent ids) can't change afterwards."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    # shuffles behind a written table aren't needed again; a collection lets Spark's cleaner drop them
-    spark._jvm.java.lang.System.gc()
-    return out
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote; nothing may read them any more."""
-    for df in written:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
