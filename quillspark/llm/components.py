@@ -34,4 +34,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = materialise(edges, "edges")
         if edges.isEmpty():
-            return materialise(mapping, "components")
+            return materialise(mapping, "components")  # no edges at all: no rows

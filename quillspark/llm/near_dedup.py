@@ -1,29 +1,28 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 A document is the set of its word shingles, embedded once as ``COORDINATES``
-minwise tokens. In each of ``TREES`` independent trees a node picks one of these
-coordinates (every fourth time, on average, two: 1 / similarity branches for 0.8)
-and sends each of its documents to the child named by the document's token
-there. Nodes of up to ``SMALL`` documents are compared exhaustively, by sketch
-first. A larger one tests its documents against one leader; if then all but
-``OUTSIDE`` of them are in one component, these are compared with all, block by
-block, and otherwise it branches again.
-A pair of similarity s shares a chosen child with probability s or more, so by
-``TREES`` repetitions a link is missed with a probability of about 1e-6 where
-the second level ends its branch, and 3e-4 where the fourth does.
-
-What keeps groups of copies cheap:
-
-* documents with equal sets are one vertex from the start;
-* a node whose documents are already in one component is finished, so a mass of
-  near copies ends with its leader's star and isn't compared pair by pair;
-* otherwise only documents of different components are compared, and of two
-  components the likeliest pair is confirmed first, which mostly settles the rest.
-
-Candidates are confirmed on the full shingle sets. No bucket, partner or
-candidate is capped, nothing but a size-bounded Bloom filter is broadcast, and
-all joins are plain equi-joins of rows, which adaptive execution splits when a
-key is hot.
+minwise tokens; their low bytes are its sketch. In each of ``TREES`` independent
+trees a node picks one of these coordinates (every fourth time, on average, two:
+1 / similarity branches for 0.8) and sends each of its documents to the child
+named by the document's token there. Nodes of up to ``SMALL`` documents are
+compared exhaustively by sketch. A larger one tests its documents against one
+leader; if then all but ``OUTSIDE`` of them are in one cluster, these are
+compared with all, block by block, and otherwise it branches again. A pair of
+similarity s shares a chosen child with probability s or more, so by ``TREES``
+repetitions a link is missed with a probability of about 1e-6 where the second
+level ends its branch, and 3e-4 where the fourth does.
+
+Sketches only say who may be linked, and a node hands on a spanning forest of
+that, never its pairs. What hangs together is a *cluster*; its documents come
+together once, with their texts, and all its links are decided on the full
+shingle sets through an inverted index. Clusters over ``TOGETHER`` documents or
+``SHINGLES`` shingles are cut into blocks, and each pair of blocks is a task.
+
+What keeps groups of copies cheap: documents with equal sets are one vertex from
+the start, and a node whose documents are already in one cluster is finished.
+No bucket, partner or candidate is capped, nothing but a size-bounded Bloom
+filter is broadcast, and joins are plain equi-joins that adaptive execution
+splits when a key is hot.
 """
 
 from __future__ import annotations
@@ -41,11 +40,13 @@ from .common import arrow_rows, materialise
 from .components import connected_components
 from .exact_dedup import may_hold, value_filter
 
-COORDINATES = 64
+COORDINATES = 128
 TREES = 12
 SMALL = 256
 OUTSIDE = 1024
 BLOCK = 2048
+TOGETHER = 4096
+SHINGLES = 3_000_000
 _RNG = np.random.Generator(np.random.PCG64(0xC405E4))
 _A = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -169,161 +170,185 @@ def _by_sketch(similarity: float):
     return run
 
 
-def _pairs_between(similarity: float):
-    """All pairs of different components between two lists of documents (or inside
-    one: ``others`` null) that pass the sketches, with their equal sketch bytes."""
+def _forest(similarity: float):
+    """Edges that join, by sketch, clusters in a list of documents (or between two
+    lists, where ``others`` isn't null): as few as say what hangs together."""
     least = _least_matches(similarity)
 
     def run(batches):
         for batch in batches:
-            left, right, matches = [], [], []
+            out_a, out_b = [], []
             for members, others in zip(batch.column(0), batch.column(1)):
-                ids, component, n, s = _listed(members.values)
-                if others.is_valid:
-                    rows = zip(*_listed(others.values), [len(ids)] * len(others.values))
-                else:
-                    rows = zip(ids, component, n, s, range(len(ids)))
-                for i, c, k, sketch, upto in rows:
-                    fine = (component[:upto] != c) & (np.minimum(n[:upto], k) >= similarity * np.maximum(n[:upto], k) - 1e-9)
-                    at = np.flatnonzero(fine)
-                    same = (s[at] == sketch).sum(axis=1)
-                    at, same = at[same >= least], same[same >= least]
-                    left.append(np.minimum(ids[at], i))
-                    right.append(np.maximum(ids[at], i))
-                    matches.append(same)
-            empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([empty, *x])) for x in (left, right, matches)], ["a", "b", "same"]
-            )
+                ids, cluster, n, s = _listed(members.values)
+                between = others.is_valid
+                rows = _listed(others.values) if between else (ids, cluster, n, s)
+                root = cluster.copy()
+                for i, (doc, own, k, sketch) in enumerate(zip(*rows)):
+                    upto = len(ids) if between else i
+                    mine = own if between else root[i]
+                    at = np.flatnonzero((root[:upto] != mine) & (np.minimum(n[:upto], k) >= similarity * np.maximum(n[:upto], k) - 1e-9))
+                    if not len(at):
+                        continue
+                    at = at[(s[at] == sketch).sum(axis=1) >= least]
+                    found, first = np.unique(root[at], return_index=True)
+                    for r, f in zip(found.tolist(), first.tolist()):
+                        out_a.append(int(ids[at[f]]))
+                        out_b.append(int(doc))
+                        root[root == r] = mine
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def _listed(values: pa.StructArray) -> tuple[np.ndarray, ...]:
-    numbers = [values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n")]
+    numbers = [values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "cluster", "n")]
     return *numbers, _matrix(values.field("sketch"), np.uint8)
 
 
-def _confirm(words: int, share: tuple[int, int]):
-    """Of (a, b, ta, tb) the pairs with |A & B| / |A | B| >= share on the full sets."""
+def linked_pairs(sets: list[np.ndarray], share: tuple[int, int]):
+    """For each set but the first, which earlier ones it is linked with, exactly:
+    an inverted index counts its shingles in common with all of them at once."""
     num, den = share
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    posting = owner[order]  # by term, and by set within one
+    starts = np.searchsorted(term[order], np.arange(term.max() + 2))
+    place = np.empty(len(order), np.int64)  # where in its term's postings a set's shingle stands
+    place[order] = np.arange(len(order))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for i in range(1, len(sets)):
+        mine = slice(ends[i], ends[i + 1])
+        first = starts[term[mine]]
+        count = place[mine] - first  # earlier sets with this shingle
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(posting[at], minlength=i)
+        yield i, np.flatnonzero(den * common >= num * (size[:i] + size[i] - common))
+
+
+def _decide(words: int, share: tuple[int, int]):
+    """Streams rows ordered by part (cluster, i, j): emits for each a spanning
+    forest of its exact links."""
+
+    def work(rows: list[tuple[int, pa.Array]]):
+        ids = np.array([r[0] for r in rows])
+        sets = [s for at in range(0, len(rows), 64) for s in shingle_sets(pa.array([r[1] for r in rows[at:at + 64]], pa.string()), words)]
+        order = np.argsort(ids, kind="stable")
+        ids, sets = ids[order], [sets[i] for i in order]
+        root = np.arange(len(ids))
+        for i, linked in linked_pairs(sets, share):
+            for r in np.unique(root[linked]).tolist():
+                if r != root[i]:
+                    yield int(ids[r]), int(ids[i])
+                    low, high = sorted((r, int(root[i])))
+                    root[root == high] = low
 
     def run(batches):
-        last, last_set = None, None
+        part, held = None, []
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, last_set = a[i], shingle_sets(batch.column(2).slice(i, 1), words)[0]
-                other = shingle_sets(batch.column(3).slice(i, 1), words)[0]
-                common = len(last_set) + len(other) - len(np.union1d(last_set, other))
-                keep.append(den * common >= num * (len(last_set) + len(other) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            links = []
+            for *key, doc, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if key != part:
+                    links += work(held) if len(held) > 1 else ()
+                    part, held = key, []
+                held.append((doc, text))
+            yield _pairs(links)
+        if len(held) > 1:
+            yield _pairs(list(work(held)))
 
     return run
 
 
-class _Join:
-    """State of one run: vertices, texts, pairs tried and links found so far."""
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
 
+class _Join:
     def __init__(self, texts: DataFrame, vertices: DataFrame, words: int, share: tuple[int, int]):
         self.texts, self.vertices, self.words, self.share = texts, vertices, words, share
         self.similarity = share[0] / share[1]
-        self.tried: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.component: DataFrame | None = None
+        self.edges: DataFrame | None = None  # what may hang together
+        self.cluster: DataFrame | None = None
 
-    def by_sketch(self, pairs: DataFrame) -> DataFrame:
-        v = self.vertices
-        left = v.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = v.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-        return joined.mapInArrow(_by_sketch(self.similarity), "a long, b long")
-
-    def try_pairs(self, pairs: DataFrame) -> bool:
-        """Confirms pairs on the full sets; True if there were new links."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        n = pairs.count()
-        if not n:
-            return False
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        spark = pairs.sparkSession
-        hashed = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h"))
-        packed, segments = value_filter(hashed, 2 * n, least=1)
-        needed = may_hold(spark.sparkContext.broadcast(packed), segments)
-        texts = self.texts.where(needed(F.xxhash64("id")))
-        one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        links = materialise(two.mapInArrow(_confirm(self.words, self.share), "a long, b long"), "links")
-        if links.isEmpty():
-            return False
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.component = connected_components(self.links)
-        return True
+    def add(self, edges: DataFrame) -> None:
+        self.edges = edges if self.edges is None else self.edges.unionByName(edges)
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        if self.component is None:
-            return rows.withColumn("component", F.col("id"))
-        return rows.join(self.component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if self.cluster is None:
+            return rows.withColumn("cluster", F.col("id"))
+        known = self.cluster.withColumnRenamed("component", "cluster")
+        return rows.join(known, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
 
     def compared(self, nodes: DataFrame, small: bool) -> DataFrame:
-        """Candidate pairs of nodes that end here: small ones in themselves, large
-        ones between the documents outside their main component and all others."""
-        member = F.collect_list(F.struct("id", "component", "n", "sketch"))
+        """Edges of nodes that end here: small ones in themselves, large ones
+        between the documents outside their main cluster and all others."""
+        member = F.collect_list(F.struct("id", "cluster", "n", "sketch"))
         nodes = nodes.join(self.vertices.select("id", "n", "sketch"), "id")
         if small:
             lists = nodes.groupBy("path").agg(member.alias("members"))
             lists = lists.select("members", F.lit(None).cast(lists.schema["members"].dataType).alias("others"))
         else:
-            outside = nodes.where("component <> main").groupBy("path").agg(member.alias("others"))
+            outside = nodes.where("cluster <> main").groupBy("path").agg(member.alias("others"))
             block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
             blocks = nodes.groupBy("path", block.alias("block")).agg(member.alias("members"))
             lists = blocks.join(outside, "path").select("members", "others")
-        return lists.mapInArrow(_pairs_between(self.similarity), "a long, b long, same long")
+        return lists.mapInArrow(_forest(self.similarity), "a long, b long")
 
-    def level(self, nodes: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs of one level of the trees, and the nodes below it."""
+    def level(self, nodes: DataFrame) -> DataFrame:
+        """Takes edges from one level of the trees; returns the nodes below it."""
         shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
         nodes = materialise(nodes.join(shared.where("size > 1"), "path"), "nodes")
-        star = nodes.where("id <> leader")
-        if not first:
-            star = star.where(F.col("size") > SMALL)
-        star = star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        self.try_pairs(self.by_sketch(star))
-
-        nodes = self.labelled(nodes.select("path", "id", "size"))
-        parts = nodes.groupBy("path", "size", "component").agg(F.count(F.lit(1)).alias("n"))
-        parts = parts.groupBy("path", "size").agg(F.max("n").alias("most"), F.max_by("component", "n").alias("main"))
-        parts = parts.where("most < size").withColumn("outside", F.col("size") - F.col("most"))
-        nodes = materialise(nodes.drop("size").join(parts, "path"), "open-nodes")
-        small, ends = F.col("size") <= SMALL, F.col("outside") <= OUTSIDE
-        pairs = self.compared(nodes.where(small), True).unionByName(self.compared(nodes.where(~small & ends), False))
-        pairs = materialise(pairs.distinct(), "candidates")
-        large = nodes.where(~small & ~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
-        return pairs, materialise(large.mapInArrow(_branch, "path long, id long"), "branches")
-
-    def run(self) -> DataFrame | None:
-        nodes = self.vertices.select("id", "tokens").mapInArrow(_roots, "path long, id long")
-        later, nodes = self.level(nodes, True)
+        small = self.labelled(nodes.where(F.col("size") <= SMALL).select("path", "id"))
+        edges = self.compared(small, True)
+        star = nodes.where((F.col("size") > SMALL) & (F.col("id") != F.col("leader")))
+        star = star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        v = self.vertices
+        left = v.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        right = v.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        star = star.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+        edges = edges.unionByName(star.mapInArrow(_by_sketch(self.similarity), "a long, b long"))
+        self.add(materialise(edges.distinct(), "candidates"))
+
+        large = nodes.where(F.col("size") > SMALL).select("path", "id", "size")
+        if large.isEmpty():
+            return large
+        self.cluster = connected_components(self.edges)
+        large = materialise(self.labelled(large), "large-nodes")
+        parts = large.groupBy("path", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.groupBy("path", "size").agg(F.max("n").alias("most"), F.max_by("cluster", "n").alias("main"))
+        parts = parts.where("most < size").select("path", "main", (F.col("size") - F.col("most")).alias("outside"))
+        large = materialise(large.join(parts, "path"), "open-nodes")
+        ends = F.col("outside") <= OUTSIDE
+        self.add(materialise(self.compared(large.where(ends), False).distinct(), "candidates"))
+        below = large.where(~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
+        return materialise(below.mapInArrow(_branch, "path long, id long"), "branches")
+
+    def run(self) -> DataFrame:
+        """(id, component) of all documents that have an exact link."""
+        nodes = self.level(self.vertices.select("id", "tokens").mapInArrow(_roots, "path long, id long"))
         while not nodes.isEmpty():
-            more, nodes = self.level(nodes, False)
-            later = later.unionByName(more)
-        later = materialise(later.distinct(), "all-candidates")
-        # of two components the likeliest pair first: mostly it settles all others
-        apart = self.between(later)
-        best = apart.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "same").alias("p"))
-        if self.try_pairs(best.select("p.a", "p.b")):
-            apart = self.between(later)
-        self.try_pairs(apart.select("a", "b"))
-        return self.component
-
-    def between(self, pairs: DataFrame) -> DataFrame:
-        a = self.labelled(pairs.withColumnRenamed("a", "id")).withColumnsRenamed({"id": "a", "component": "ca"})
-        b = self.labelled(a.withColumnRenamed("b", "id")).withColumnsRenamed({"id": "b", "component": "cb"})
-        return b.where("ca <> cb").select("a", "b", "same", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+            nodes = self.level(nodes)
+        clusters = connected_components(self.edges).withColumnRenamed("component", "cluster")
+        sized = clusters.join(self.vertices.groupBy("id").agg(F.max("n").alias("n")), "id")
+        sizes = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+        one = (F.col("docs") <= TOGETHER) & (F.col("shingles") <= SHINGLES)
+        blocks = F.greatest(F.ceil(2 * F.col("docs") / TOGETHER), F.ceil(2 * F.col("shingles") / SHINGLES))
+        sizes = materialise(sizes.select("cluster", F.when(one, 1).otherwise(blocks).cast("int").alias("blocks")), "cluster-sizes")
+        placed = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        # a document goes to each pair of blocks that its own is in; mostly that is one task
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select("id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        placed = materialise(placed, "placed")
+
+        spark = placed.sparkSession
+        packed, segments = value_filter(clusters.select(F.xxhash64("id").alias("h")), clusters.count(), least=1)
+        needed = may_hold(spark.sparkContext.broadcast(packed), segments)
+        texts = self.texts.where(needed(F.xxhash64("id")))
+        rows = placed.join(texts, "id").select("cluster", "i", "j", "id", "text")
+        rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        links = materialise(rows.mapInArrow(_decide(self.words, self.share), "a long, b long"), "links")
+        return connected_components(links)
 
 
 def near_duplicates(
@@ -349,11 +374,8 @@ def near_duplicates(
     sketch = F.concat(*(F.substring("tokens", 4 * i + 1, 1) for i in range(COORDINATES)))
     vertices = materialise(chosen.select("id", "n", "tokens", sketch.alias("sketch")).dropDuplicates(["id", "n", "tokens"]), "vertices")
     component = _Join(texts, vertices, words, share).run()
-    if component is not None:
-        members = members.join(component.withColumnRenamed("id", "first"), "first", "left")
-        members = members.select("id", "n", F.coalesce("component", "first").alias("component"))
-    else:
-        members = members.select("id", "n", F.col("first").alias("component"))
+    members = members.join(component.withColumnRenamed("id", "first"), "first", "left")
+    members = members.select("id", "n", F.coalesce("component", "first").alias("component"))
     alone = sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = members.unionByName(alone)
     return out.select(
