@@ -15,7 +15,7 @@ def vocab():
 def odd_docs(spark):
     """Nulls everywhere, empty and long texts, ties, repeated rows, clashing names."""
     rng = random.Random(3)
-    prose = " ".join(rng.choice(["alpha", "beta", "gamma", "délta", "zeta"]) + str(rng.randint(0, 400)) for _ in range(60))
+    prose = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "zeta"]) + str(rng.randint(0, 400)) for _ in range(60))
     long = " ".join("w%d" % rng.randint(0, 3000) for _ in range(30_000))
     rows = [
         (1, prose, "x"), (2, prose.upper(), "x"), (2, prose.upper(), "x"), (3, None, None), (4, "", "y"), (None, prose, None), (None, None, None),
