@@ -44,8 +44,9 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chats, masked_text, parsed, text_part
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
-    rows = rows.unionByName(spark.createDataFrame(probe, rows.schema))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    probe = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = rows.unionByName(probe)
     chats = format_chats(rows.withColumn("parts", text_part(F.col("text"))))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     read = chats.select(
