@@ -298,7 +298,8 @@ class _Join:
     def level(self, nodes: DataFrame) -> DataFrame:
         """Takes edges from one level of the trees; returns the nodes below it."""
         shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
-        nodes = materialise(nodes.join(shared.where("size > 1"), "path"), "nodes")
+        shared = materialise(shared.where("size > 1"), "shared-nodes")  # both sides of the join are plain exchanges then
+        nodes = materialise(nodes.join(shared, "path"), "nodes")
         small = self.labelled(nodes.where(F.col("size") <= SMALL).select("path", "id"))
         edges = self.compared(small, True)
         star = nodes.where((F.col("size") > SMALL) & (F.col("id") != F.col("leader")))
@@ -318,7 +319,7 @@ class _Join:
         parts = large.groupBy("path", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
         parts = parts.groupBy("path", "size").agg(F.max("n").alias("most"), F.max_by("cluster", "n").alias("main"))
         parts = parts.where("most < size").select("path", "main", (F.col("size") - F.col("most")).alias("outside"))
-        large = materialise(large.join(parts, "path"), "open-nodes")
+        large = materialise(large.join(materialise(parts, "parts"), "path"), "open-nodes")
         ends = F.col("outside") <= OUTSIDE
         self.add(materialise(self.compared(large.where(ends), False).distinct(), "candidates"))
         below = large.where(~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")

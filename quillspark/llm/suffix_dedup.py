@@ -279,7 +279,7 @@ def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE)
     discard(all_anchors)
     contexts = materialise(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "contexts")
     hashes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest"))
-    hashes = hashes.where("kinds > 1 and fewest = 1").select("h", "kinds")
+    hashes = materialise(hashes.where("kinds > 1 and fewest = 1").select("h", "kinds"), "hashes")
     ends = materialise(contexts.join(hashes, "h"), "ends")
 
     whole = found.join(contexts.where("n > 1").select("h", "c"), ["h", "c"])
@@ -299,7 +299,7 @@ def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE)
     ends_of_repeats = materialise(small, "ends-of-repeats")
     spans = whole.unionByName(ends_of_repeats).distinct()
     spans = materialise(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    discard(found, contexts, ends, ends_of_repeats)
+    discard(found, contexts, hashes, ends, ends_of_repeats)
     return spans
 
 
