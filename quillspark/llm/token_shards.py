@@ -94,9 +94,15 @@ def _stream(batches, tokenizer: str, ranks: str | None, length: int, end_id: int
         yield rest[None, :]
 
 
-def _count(tokenizer, ranks, length, end_id):
+def _count(tokenizer, ranks, length):
     def run(batches):
-        n = sum(len(x) for x in _stream(batches, tokenizer, ranks, length, end_id))
+        from .tokens import encoder
+
+        enc, ids = encoder(tokenizer, ranks), 0
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                ids += enc.count([t or "" for t in part.column("text").to_pylist()]) + part.num_rows  # an end id each
+        n = -(-ids // length)
         yield pa.RecordBatch.from_pydict({"partition": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64())})
 
     return run
@@ -142,7 +148,7 @@ def write_shards(
     arrow_rows(spark)
     texts = docs.select(F.col(text).alias("text"))
     how = (tokenizer_json, ranks_file, length, end_id)
-    found = {r["partition"]: r["n"] for r in texts.mapInArrow(_count(*how), "partition long, n long").collect()}  # a row per input split
+    found = {r["partition"]: r["n"] for r in texts.mapInArrow(_count(*how[:3]), "partition long, n long").collect()}  # a row per input split
     counts = np.array([found.get(i, 0) for i in range(max(found, default=-1) + 1)], np.int64)
     total = int(counts.sum())
     layout = Layout(path, total, -(-total // per_shard), per_shard, length, key)

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
-from .textvec import BASE, BASE_INVERSE, mixed, powers
+from .textvec import mixed, powers
 
-assert BASE and BASE_INVERSE
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Code points below this one are classed by a table; Unicode has been stable there for decades.
 FIRST_UNCOVERED = 0x370
@@ -60,25 +60,46 @@ class BatchEncoder:
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("quillspark", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        return lambda piece: core.encode_single_piece(piece.encode())
+        return core.encode_single_piece
 
-    def _pieces_of_library(self, piece: str) -> list[int]:
-        return self.whole.encode(piece, add_special_tokens=False).ids
+    def _pieces_of_library(self, piece: bytes) -> list[int]:
+        return self.whole.encode(piece.decode(), add_special_tokens=False).ids
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
         used, n = int(self.at[len(self.known)]), len(self.known)
-        ids = [self.single(p) for p in pieces]
+        ids = list(map(self.single, pieces))
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
         while len(self.flat) < used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.at) < n + len(ids) + 1:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[used:used + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
+        self.flat[used:used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.at[n + 1:n + 1 + len(ids)] = used + np.cumsum(lens)
         self.known.update(zip(hashes, range(n, n + len(ids))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined, cp, bounds, odd = self._points(texts)
+        if odd is not None:
+            return self._split(texts, odd)
+        which, token = self._known(joined, cp, bounds)
+        lens = self.at[which + 1] - self.at[which]
+        ends = np.cumsum(lens)
+        gather = np.repeat(self.at[which] - ends + lens, lens)
+        gather += np.arange(len(gather))
+        return self.flat[gather], np.concatenate([[0], ends])[token]
+
+    def count(self, texts: list[str]) -> int:
+        """How many ids ``encode`` would give."""
+        joined, cp, bounds, odd = self._points(texts)
+        if odd is not None:
+            return len(self._split(texts, odd)[0])
+        which, _ = self._known(joined, cp, bounds)
+        return int((self.at[which + 1] - self.at[which]).sum())
+
+    def _points(self, texts: list[str]):
+        """The texts joined, their code points and bounds, and which texts the
+        cutting rules don't cover (None: they cover all)."""
         joined = "".join(texts)
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.zeros(len(texts) + 1, np.int64)
@@ -88,13 +109,18 @@ class BatchEncoder:
         if len(quote):  # 's, 't, 're, 've, 'm, 'll, 'd may be pre-tokens of their own
             nxt = cp[np.minimum(quote + 1, len(cp) - 1)]
             odd[quote[np.isin(nxt, np.frombuffer("stmdrlv".encode("utf-32-le"), np.uint32))]] = True
-        if odd.any():
-            return self._split(texts, np.add.reduceat(np.append(odd, False), bounds[:-1]) * (np.diff(bounds) > 0) > 0)
+        if not odd.any():
+            return joined, cp, bounds, None
+        return joined, cp, bounds, np.add.reduceat(np.append(odd, False), bounds[:-1]) * (np.diff(bounds) > 0) > 0
+
+    def _known(self, joined: str, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each pre-token among those known (all are, afterwards), and
+        the first pre-token of each text."""
         if len(self.known) > REMEMBERED:
             self.clear()
         start = self._starts(cp, bounds)
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
         end = np.append(start[1:], len(cp))
         prefix = np.zeros(len(cp) + 1, np.uint64)
         np.multiply(cp.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019), powers("up", len(cp)), out=prefix[1:])
@@ -103,22 +129,15 @@ class BatchEncoder:
         h = mixed(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        get = self.known.get
-        index = [get(k, -1) for k in keys]
-        missing = [i for i, x in enumerate(index) if x < 0]
+        index = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(index) if x is None]
         if missing:
             a, b = start[first[missing]].tolist(), end[first[missing]].tolist()
             n = len(self.known)
-            self._learn([keys[i] for i in missing], [joined[x:y] for x, y in zip(a, b)])
+            self._learn([keys[i] for i in missing], [joined[x:y].encode("utf-8", "surrogatepass") for x, y in zip(a, b)])
             for k, i in enumerate(missing):
                 index[i] = n + k
-        which = np.array(index, np.int64)[inverse]
-        lens = self.at[which + 1] - self.at[which]
-        ends = np.cumsum(lens)
-        gather = np.repeat(self.at[which] - ends + lens, lens)
-        gather += np.arange(len(gather))
-        token_at = np.concatenate([[0], ends])
-        return self.flat[gather], token_at[np.searchsorted(start, bounds)]
+        return np.array(index, np.int64)[inverse], np.searchsorted(start, bounds)
 
     def _starts(self, cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where pre-tokens start: runs of letters, numbers or other characters,
