@@ -47,12 +47,12 @@ DROPPED_CLASSES = frozenset(
     "cookies consent popup modal newsletter subscribe share sharing social related recommended login signup search widget".split()
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S
 )
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Weights before any page is seen.
-INLINE_TAG, BLOCK_TAG, DROPPED_TAG = -0.02, -0.2, -25.0
+INLINE_TAG, BLOCK_TAG = -0.02, -0.2
 
 
 def tokens(page: str):
@@ -64,7 +64,7 @@ def tokens(page: str):
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[2] is None:
-            if not m[0].startswith(("<!", "<?")):
+            if m[0][0] != "<" or m[0] == "<":  # else a comment, or a tag whose quotes don't end
                 out.append(("w", m[0], dropped > 0))
             continue
         tag = m[2].lower()
@@ -109,28 +109,22 @@ def weight(feature: str, weights: dict[str, float]) -> float:
     got = weights.get(feature)
     if got is not None:
         return got
-    tag, _, marked = feature.lstrip("</").partition(".")
-    if marked or tag in DROPPED:
-        return DROPPED_TAG
-    return BLOCK_TAG if tag in BLOCKS else INLINE_TAG
+    return BLOCK_TAG if feature.lstrip("</") in BLOCKS else INLINE_TAG
 
 
 def token_scores(page_tokens: list, weights: dict[str, float]) -> np.ndarray:
     """Words score positive, tags negative; words of dropped elements nothing."""
     out = []
     for kind, value, dropped in page_tokens:
-        if kind == "w":
-            out.append(0.0 if dropped else float(len(value.split())))
+        if dropped:  # gives no text, so a region may as well go across it
+            out.append(0.0 if kind == "w" else -0.001)
+        elif kind == "w":
+            out.append(float(len(value.split())))
         else:
-            out.append(min(weight(kind, weights), -0.001) if _counts(kind, value, dropped) else -0.001)
+            out.append(min(weight(kind, weights), -0.001))
     return np.array(out)
 
 
-def _counts(feature: str, tag: str, dropped: bool) -> bool:
-    """Tags within elements that are never content don't count, but for the elements' own."""
-    return not dropped or tag in DROPPED or "." in feature
-
-
 def best_region(scores: np.ndarray) -> tuple[int, int]:
     """[start, end) with the greatest sum; the first and shortest of equals; (0, 0) if none is positive."""
     if not len(scores):
@@ -181,8 +175,8 @@ def fit(pages: list[str]) -> dict[str, float]:
         gold = _marked_region(t)
         if gold:
             labelled.append((t, gold[0]))
-            for i, (kind, tag, dropped) in enumerate(t):
-                if kind != "w" and _counts(kind, tag, dropped):
+            for i, (kind, _, dropped) in enumerate(t):
+                if kind != "w" and not dropped:
                     (inside if gold[1][0] <= i < gold[1][1] else outside)[kind] += 1
     for feature in inside | outside:  # log-odds of standing outside, and at least a little
         odds = 4 * np.log((outside[feature] + 0.5) / (inside[feature] + 0.5))
@@ -196,10 +190,10 @@ def fit(pages: list[str]) -> dict[str, float]:
             wrong += 1
             step = 0.1 * max(1, abs(found[0] - gold[0]) + abs(found[1] - gold[1])) ** 0.5
             for i in range(*found):
-                if not gold[0] <= i < gold[1] and t[i][0] != "w":
+                if not gold[0] <= i < gold[1] and t[i][0] != "w" and not t[i][2]:
                     weights[t[i][0]] = weight(t[i][0], weights) - step
             for i in range(*gold):
-                if not found[0] <= i < found[1] and t[i][0] != "w":
+                if not found[0] <= i < found[1] and t[i][0] != "w" and not t[i][2]:
                     weights[t[i][0]] = min(-0.001, weight(t[i][0], weights) + step)
         if not wrong:
             break
