@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_rows, materialise
+from .common import arrow_rows, discard, materialise
 from .components import connected_components
 from .exact_dedup import may_hold, value_filter
 
@@ -374,10 +374,11 @@ def near_duplicates(
     chosen = linked.join(groups, ["k1", "k2"]).where("id = first")
     sketch = F.concat(*(F.substring("tokens", 4 * i + 1, 1) for i in range(COORDINATES)))
     vertices = materialise(chosen.select("id", "n", "tokens", sketch.alias("sketch")).dropDuplicates(["id", "n", "tokens"]), "vertices")
+    alone = materialise(sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component")), "alone")
+    discard(sets, groups)
     component = _Join(texts, vertices, words, share).run()
     members = members.join(component.withColumnRenamed("id", "first"), "first", "left")
     members = members.select("id", "n", F.coalesce("component", "first").alias("component"))
-    alone = sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = members.unionByName(alone)
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
