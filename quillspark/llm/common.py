@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import discard, materialise, scratch_path, shared_dir
+from ..scratch import delete, discard, materialise, release_shuffles, scope, scratch_path, shared_dir
 from ..shipping import ship
 
-__all__ = ["arrow_rows", "discard", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["delete", "discard", "materialise", "release_shuffles", "scope", "scratch_path", "session", "shared_dir", "shuffle_partitions", "table"]
+
+
+def session(df: DataFrame) -> SparkSession:
+    """The session of ``df``, whose Python workers can import this package."""
+    ship(df.sparkSession)
+    return df.sparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Rows of whole texts in one Arrow batch; keeps a Python worker small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

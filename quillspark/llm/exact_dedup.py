@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, materialise, shuffle_partitions
-from .textvec import string_bytes
+from .common import materialise, session, shuffle_partitions
+from .textvec import chunks, string_bytes
 
 #: 32 MiB: the most that pass 2 broadcasts.
 MAX_FILTER_BITS = 1 << 28
@@ -53,7 +53,16 @@ def _segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (segments - 1)
 
 
-def _local_pass(segments: int, least: int):
+def _longs(batch: pa.RecordBatch):
+    yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _digest_heads(batch: pa.RecordBatch):
+    for part in chunks(batch, "text"):
+        yield np.frombuffer(b"".join(d[:8] for d in lowered_digests(part.column(0))), np.uint64)
+
+
+def _local_pass(segments: int, least: int, read):
     """Of one task: for each segment its distinct hashes, and which of them came ``least`` times."""
 
     def run(batches):
@@ -75,11 +84,12 @@ def _local_pass(segments: int, least: int):
             )
 
         for batch in batches:
-            parts.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            held += len(parts[-1])
-            if held >= 1 << 20:
-                yield flush()
-                parts, held = [], 0
+            for h in read(batch):
+                parts.append(h)
+                held += len(h)
+                if held >= 1 << 20:
+                    yield flush()
+                    parts, held = [], 0
         if held:
             yield flush()
 
@@ -115,14 +125,15 @@ def _merge_pass(segments: int, filter_bits: int, seen_bits: int):
     return run
 
 
-def value_filter(hashes: DataFrame, rows: int, least: int = 2) -> tuple[np.ndarray, int]:
-    """The Bloom filter of the values that ``hashes`` (one long column) may hold
-    ``least`` times (1 or 2), as packed bits, and its number of segments."""
-    spark = hashes.sparkSession
+def value_filter(hashes: DataFrame, rows: int, least: int = 2, read=_longs) -> tuple[np.ndarray, int]:
+    """The Bloom filter of the values that ``hashes`` (one long column, or what
+    ``read`` makes of it) may hold ``least`` times (1 or 2), as packed bits, and
+    its number of segments."""
+    spark = session(hashes)
     filter_bits = min(MAX_FILTER_BITS, max(1 << 13, _power_of_two(8 * rows)))
     segments = min(_power_of_two(rows / SEGMENT_HASHES * 4), filter_bits >> 9)
     segments = max(16, segments)
-    local = hashes.mapInArrow(_local_pass(segments, least), "segment long, hashes binary, twice binary")
+    local = hashes.mapInArrow(_local_pass(segments, least, read), "segment long, hashes binary, twice binary")
     dealt = local.repartition(min(segments, shuffle_partitions(spark)), "segment").sortWithinPartitions("segment")
     seen_bits = min(max(_power_of_two(16 * rows / segments), SEGMENT_BITS[0]), SEGMENT_BITS[1])
     merged = dealt.mapInArrow(_merge_pass(segments, filter_bits, seen_bits), "segment long, bits binary")
@@ -133,28 +144,52 @@ def value_filter(hashes: DataFrame, rows: int, least: int = 2) -> tuple[np.ndarr
     return packed, segments
 
 
+def membership(packed: np.ndarray, segments: int):
+    """A test of 64-bit values against a filter."""
+    chunk_bits = len(packed) * 8 // segments
+
+    def hold(v: np.ndarray) -> np.ndarray:
+        at = _positions(_remixed(v), chunk_bits) + _segment_of(v, segments)[None, :] * chunk_bits
+        return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+    return hold
+
+
 def may_hold(packed_broadcast, segments: int):
     """A UDF that tests a long column against a broadcast filter."""
 
     @F.arrow_udf(T.BooleanType())
     def maybe(h: pa.Array) -> pa.Array:
-        packed = packed_broadcast.value
-        chunk_bits = len(packed) * 8 // segments
-        v = h.to_numpy(zero_copy_only=False).view(np.uint64)
-        at = _positions(_remixed(v), chunk_bits) + _segment_of(v, segments)[None, :] * chunk_bits
-        bit = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return pa.array(bit.all(axis=0))
+        return pa.array(membership(packed_broadcast.value, segments)(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     return maybe
 
 
-@F.arrow_udf(T.StringType())
-def lowered_sha256(text: pa.Array) -> pa.Array:
-    """Hex SHA-256 of each text's UTF-8 after lower-casing A-Z only (null: empty)."""
+def lowered_digests(text: pa.Array) -> list[bytes]:
+    """SHA-256 of each text's UTF-8 after lower-casing A-Z only (null: empty).
+
+    Spark's ``translate`` does the same letter by letter, which takes ten times as
+    long as all else here together; ``bytes.lower`` changes ASCII letters alone.
+    """
     data, at = string_bytes(text)
     view = memoryview(data)
-    # bytes.lower() changes ASCII letters alone
-    return pa.array([hashlib.sha256(bytes(view[a:b]).lower()).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string())
+    return [hashlib.sha256(bytes(view[a:b]).lower()).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+_TESTED = T.StructType([T.StructField("sha", T.StringType()), T.StructField("maybe", T.BooleanType())])
+
+
+def _tested(packed_broadcast, segments: int):
+    """Digest and filter test of a text in one go."""
+
+    @F.arrow_udf(_TESTED)
+    def tested(text: pa.Array) -> pa.Array:
+        digests = lowered_digests(text)
+        heads = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
+        maybe = membership(packed_broadcast.value, segments)(heads)
+        return pa.StructArray.from_arrays([pa.array([d.hex() for d in digests], pa.string()), pa.array(maybe, pa.bool_())], ["sha", "maybe"])
+
+    return tested.asNondeterministic()  # else a filter on it would have it evaluated twice
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -168,28 +203,20 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     whatever name, pass through; result columns replace those of the same name.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    spark = session(docs)
     results = ("text_sha256", "keep_id", "group_size", "kept")
     docs = docs.drop(*(c for c in results if c not in (text, doc_id)))
+    packed, segments = value_filter(docs.select(F.col(text).alias("text")), docs.count(), read=_digest_heads)
+    tested = _tested(spark.sparkContext.broadcast(packed), segments)
     tag = "__quill"
-    hashed = docs.withColumn(f"{tag}_sha", lowered_sha256(F.col(text)))
-    hashed = hashed.withColumn(f"{tag}_h", F.xxhash64(f"{tag}_sha"))
-    packed, segments = value_filter(hashed.select(f"{tag}_h"), docs.count())
-    maybe = may_hold(spark.sparkContext.broadcast(packed), segments)
-    hashed = hashed.withColumn(f"{tag}_maybe", maybe(f"{tag}_h"))
-    single = (
-        hashed.where(~F.col(f"{tag}_maybe"))
-        .withColumn("text_sha256", F.col(f"{tag}_sha"))
-        .withColumn("keep_id", F.col(doc_id))
-        .withColumn("group_size", F.lit(1).cast("long"))
-    )
-    again = hashed.where(f"{tag}_maybe").withColumn("text_sha256", F.col(f"{tag}_sha"))
-    groups = (
-        again.groupBy(F.col(f"{tag}_sha").alias(f"{tag}_group"))
-        .agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    sha = f"{tag}.sha"
+    hashed = docs.withColumn(tag, tested(F.col(text)))
+    single = hashed.where(f"not {tag}.maybe").select(
+        *docs.columns, F.col(sha).alias("text_sha256"), F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
+    again = hashed.where(f"{tag}.maybe")
+    groups = again.groupBy(F.col(sha).alias(f"{tag}_group")).agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = materialise(groups, "groups")  # so that both sides of the join are plain exchanges, which can be split
-    again = again.join(groups, F.col(f"{tag}_sha") == F.col(f"{tag}_group")).drop(f"{tag}_group")
-    out = single.unionByName(again).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
-    return out.drop(f"{tag}_sha", f"{tag}_h", f"{tag}_maybe")
+    again = again.withColumn("text_sha256", F.col(sha)).join(groups, F.col("text_sha256") == F.col(f"{tag}_group"))
+    out = single.unionByName(again.select(*docs.columns, "text_sha256", "keep_id", "group_size"))
+    return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))

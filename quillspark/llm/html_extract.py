@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from .common import session
 
 #: Labelled pages that the fit reads at most, and passes over them.
 SAMPLE, PASSES = 300, 8
@@ -221,7 +221,7 @@ def extract_main_text(pages: DataFrame, weights: dict[str, float], html: str = "
     repeated ids don't matter; other columns pass through, one called ``name`` is
     replaced, and an empty table gives an empty result.
     """
-    arrow_rows(pages.sparkSession)
+    session(pages)
 
     @F.arrow_udf(T.StringType())
     def run(column: pa.Array) -> pa.Array:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_rows, discard, materialise
+from .common import discard, materialise, session
 from .components import connected_components
 from .exact_dedup import may_hold, value_filter
 
@@ -364,7 +364,7 @@ def near_duplicates(
     component is null, and it stays). Rows that repeat an id are judged each by
     its own text. Other columns are ignored; an empty table gives no rows.
     """
-    arrow_rows(docs.sparkSession)
+    session(docs)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialise(texts.mapInArrow(_embed(words), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
     linked = sets.where("id is not null and n > 0")

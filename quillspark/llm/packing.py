@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, materialise, shuffle_partitions
+from .common import materialise, session, shuffle_partitions
 from .textvec import chunks
 
 CAPACITY = 1024
@@ -168,7 +168,7 @@ def token_pieces(
 ) -> DataFrame:
     """Ids of every whole text and the end id, cut into pieces of at most
     ``capacity``; of a longer document the first piece takes the remainder."""
-    arrow_rows(docs.sparkSession)
+    session(docs)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [
         T.StructField("doc_id", chosen.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import arrow_rows
+from .common import session
 
 SAMPLE = 5000
 SAMPLE_CHARS = 20_000
@@ -204,14 +204,20 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model | None:
-    """Fits on labelled rows outside the held-out fold (see the bounds above)."""
+    """Fits on labelled rows outside the held-out fold (see the bounds above).
+
+    Null texts, null or unknown labels and null ids aren't learned from; an id that
+    several rows share counts once for each label it has, with the smallest of its
+    texts; other columns don't matter. None where what is left is empty or has one
+    label only.
+    """
     some = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y"))
     some = some.where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__id"))
     some = some.orderBy(F.xxhash64("__id"), "__y").limit(SAMPLE)
     texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__t")).where(F.length("__t") <= SAMPLE_CHARS)
-    # at most SAMPLE labels are broadcast
-    rows = texts.join(F.broadcast(some), F.col("__doc") == F.col("__id")).select("__id", "__t", "__y")
-    rows = sorted(rows.collect(), key=lambda r: (r["__id"], r["__y"], r["__t"]))[: 2 * SAMPLE]
+    # at most SAMPLE labels are broadcast, and as many rows come back: of rows that share an id one text
+    rows = texts.join(F.broadcast(some), F.col("__doc") == F.col("__id")).groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
+    rows = sorted(rows.collect(), key=lambda r: (r["__id"], r["__y"], r["__t"]))
     return fit([r["__t"] for r in rows], [r["__y"] for r in rows])
 
 
@@ -222,8 +228,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", name: str
     model (no labels, or all the same) every score is 1. Other columns pass through,
     one called ``name`` is replaced, and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    spark = session(docs)
     if model is None:
         return docs.withColumn(name, F.lit(1.0))
     shared = spark.sparkContext.broadcast(model)
@@ -231,7 +236,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", name: str
     @F.arrow_udf(T.DoubleType())
     def scores(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["t"])
-        parts = [shared.value.scores(part.column(0)) for part in textvec.chunks(batch, "t", 1 << 20)]
+        parts = [shared.value.scores(part.column(0)) for part in textvec.chunks(batch, "t")]
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    return docs.withColumn(name, scores(F.col(text)))
+    return docs.withColumn(name, scores.asNondeterministic()(F.col(text)))  # a filter on it doesn't evaluate it again

@@ -2,26 +2,30 @@
 
 A substring of ``least`` bytes that starts in two places is found through a
 content-chosen *anchor*: of the ``span`` k-grams inside a window of ``least``
-bytes the one with the smallest hash. Equal windows choose equal anchors at
-equal offsets, so all windows that can match meet under their anchor's hash,
-and only about 2 / span of all positions take part:
-
-1. Anchors (hash, hash of the surrounding context, text, position) are stored.
-   A Bloom filter of hashes seen twice drops the rest before any shuffle.
-2. Where a whole context (every window through the anchor) comes twice, all of
-   it is repeated; aggregates with map-side partials decide that.
-3. What is left are anchors near the ends of repeats. Their contexts, one for
-   each distinct context of an anchor hash, are dealt by anchor hash, and the
-   suffixes to the right and (reversed) to the left of the anchor are put in
-   deep-shallow order. A window with a bytes to the left of the anchor repeats
-   if a suffix shares both the left interval at depth a and the right one at
-   depth span - 1 - a, which is a lookup of interval numbers, not of pairs.
-   Hashes with more than ``LARGE`` distinct contexts are not brought together:
-   their windows are counted one by one, again with partial aggregates.
+bytes the one with the smallest hash, the first of equals. Equal windows choose
+equal anchors at equal offsets, so all windows that can match meet under their
+anchor, and only about 2 / span of all positions take part:
+
+1. A Bloom filter of anchor hashes seen twice drops the other anchors before
+   any shuffle.
+2. Of the rest the *context* (every window through the anchor) is stored. Equal
+   contexts are counted, bytes compared, by aggregates with map-side partials;
+   distinct ones are dealt by anchor hash, each with its count.
+3. A task compares the k-grams of an anchor hash and puts the suffixes to the
+   right and (reversed) to the left of the anchor in deep-shallow order. A window
+   with a bytes to the left of the anchor repeats if the suffixes that share both
+   its left interval at depth a and its right one at depth span - 1 - a came twice
+   or more in all, which is a lookup of interval numbers, not of pairs.
 4. Covered intervals go back to the texts that have any (again through a
    bounded Bloom filter); other texts never shuffle.
 
-Texts are identified by a 128-bit digest: equal texts have equal intervals.
+In periodic text every window repeats where the period ends; such a window is
+compared with its predecessor in place and chooses no anchor, so long runs
+have no more anchors than other text.
+
+An anchor hash with more than ``LARGE`` distinct contexts isn't brought together:
+its windows are counted one by one by two 64-bit hashes, with partial aggregates.
+Texts are identified by two such hashes too: equal texts have equal intervals.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import arrow_rows, discard, materialise
-from .exact_dedup import may_hold, value_filter
+from .common import discard, materialise, session
+from .exact_dedup import may_hold, membership, value_filter
 from .suffix_sort import adjacent_lcp, suffix_order
 
 LEAST = 200
@@ -44,138 +48,184 @@ LEAST = 200
 LARGE = 120_000
 #: Contexts that one task sorts at a time.
 TOGETHER = 16_384
+#: Bytes whose windows are looked at together, whatever the length of a text.
+PIECE = 1 << 20
+_PLACE = np.uint64((1 << 24) - 1)
 
 
-@F.arrow_udf(T.BinaryType())
-def text_key(text: pa.Array) -> pa.Array:
-    data, at = textvec.string_bytes(text)
-    view = memoryview(data)
-    return pa.array([_digest(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+def digest(*columns) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of columns."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)
 
 
-def _digest(data) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def gram(least: int) -> tuple[int, int]:
+    """Length of the k-grams, and how many of them a window of ``least`` bytes has."""
+    k = max(1, least // 4)
+    return k, least - k + 1
 
 
-def _sliding(values: np.ndarray, width: int, take) -> np.ndarray:
-    """take over values[i : i + width], by running extremes from both block ends."""
+def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of values[i : i + width], by running minima from both block ends."""
     n = len(values) - width + 1
     blocks = -(-len(values) // width)
     padded = np.concatenate([values, np.repeat(values[-1:], blocks * width - len(values))]).reshape(blocks, width)
-    ahead = take.accumulate(padded, axis=1).ravel()
-    behind = np.ascontiguousarray(take.accumulate(padded[:, ::-1], axis=1)[:, ::-1]).ravel()
-    return take(behind[:n], ahead[width - 1:width - 1 + n])
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int):
-    """(position, text number, hash, context start, context end, context hash)
-    of every anchor of the texts in ``data``."""
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()
+    behind = np.ascontiguousarray(np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1]).ravel()
+    return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
+
+
+def _same_before(data: np.ndarray, at: np.ndarray, back: np.ndarray, least: int) -> np.ndarray:
+    """Whether the window at each place equals the one ``back`` bytes before it."""
+    out = np.zeros(len(at), bool)
+    for d in np.unique(back).tolist():
+        some = np.flatnonzero(back == d)
+        first, last = int(at[some[0]]), int(at[some[-1]]) + least
+        same = np.zeros(last - first + 1, np.int32)
+        np.cumsum(data[first:last] == data[first - d:last - d], out=same[1:])
+        x = at[some] - first
+        out[some] = same[x + least] - same[x] == least
+    return out
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of the texts in ``data``, and the (start,
+    end) ranges, one row each, of windows that repeat by their own period."""
     k, span = gram(least)
-    none = np.zeros(0, np.int64)
-    if len(data) < least:
-        return none, none, none, none, none, none
-    prefix = textvec.prefix_hash(data)
-    at = np.arange(len(data) - k + 1)
-    h = textvec.range_hash(prefix, at, at + k)
-    low = _sliding(h, span, np.minimum)
-    valid = np.zeros(len(low) + 1, np.int64)
     lengths = np.diff(offsets)
-    long = lengths >= least
-    np.add.at(valid, offsets[:-1][long], 1)
-    np.add.at(valid, offsets[1:][long] - least + 1, -1)
-    low[np.cumsum(valid)[:-1] == 0] = 0  # windows that cross texts choose nothing
-    edge = np.zeros(span - 1, np.uint64)
-    best = _sliding(np.concatenate([edge, low, edge]), span, np.maximum)[: len(h)]
-    at = np.flatnonzero((best == h) & (best > 0))
-    owner = np.searchsorted(offsets, at, "right") - 1
-    a = np.maximum(at - (span - 1), offsets[owner])
-    b = np.minimum(at + least, offsets[owner + 1])
-    context = textvec.range_hash(prefix, a, b) ^ textvec.mixed(((at - a) * 1_000_003 + (b - at)).astype(np.uint64))
-    return at, owner, h[at], a, b, context
-
-
-def gram(least: int) -> tuple[int, int]:
-    """Length of the k-grams, and how many of them a window of ``least`` bytes has."""
-    k = max(1, least // 4)
-    return k, least - k + 1
+    valid = np.zeros(len(data) + 2, np.int32)
+    np.add.at(valid, offsets[:-1][lengths >= least], 1)
+    np.add.at(valid, offsets[1:][lengths >= least] - least + 1, -1)
+    valid = np.cumsum(valid)[: len(data)] > 0  # windows that cross texts choose nothing
+    found_at, found_h, found_runs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+    for a in range(0, len(data), PIECE):
+        lo, hi = max(0, a - span), min(len(data), a + PIECE + least - 1)
+        if hi - lo < least:
+            continue
+        sub = data[lo:hi]
+        prefix = textvec.prefix_hash(sub)
+        at = np.arange(len(sub) - k + 1)
+        h = textvec.range_hash(prefix, at, at + k)
+        low = _sliding_min(h & ~_PLACE | at.astype(np.uint64), span)  # by hash, then place
+        window = np.flatnonzero(valid[lo:lo + len(low)])
+        chosen = (low[window] & _PLACE).astype(np.int64)
+        own = window >= a - lo
+        if own.any():
+            # the anchor before, if it is the same k-gram: one period back
+            places, which = np.unique(chosen, return_inverse=True)
+            gap = np.zeros(len(places), np.int64)
+            gap[1:] = np.where(h[places[1:]] == h[places[:-1]], np.diff(places), 0)
+            back = gap[which]
+            start = offsets[np.searchsorted(offsets, window + lo, "right") - 1] - lo
+            may = np.flatnonzero(own & (back > 0) & (back < span) & (window - back >= np.maximum(start, 0)))
+            again = may[_same_before(sub, window[may], back[may], least)]
+            if len(again):
+                found_runs.append(_merged(window[again] - back[again] + lo, window[again] + least + lo, 0))  # texts may touch
+                own[again] = False
+            mine = np.unique(chosen[own])
+            found_at.append(mine + lo)
+            found_h.append(h[mine])
+    at, first = np.unique(np.concatenate(found_at), return_index=True)
+    return at, np.concatenate(found_h)[first], np.concatenate(found_runs)
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray, gap: int = 1) -> np.ndarray:
+    """The union of ranges as (start, end) rows, in order; rows are ``gap`` or more apart."""
+    order = np.argsort(lo, kind="stable")
+    lo, far = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(lo)), bool), lo[1:] >= far[:-1] + gap]))
+    return np.stack([lo[first], far[np.append(first[1:], len(lo)) - 1]], axis=1) if len(lo) else np.zeros((0, 2), np.int64)
+
+
+def _anchor_hashes(least: int):
+    def read(batch: pa.RecordBatch):
+        for part in textvec.chunks(batch, "text"):
+            yield anchors(*textvec.string_bytes(part.column("text")), least)[1]
+
+    return read
+
+
+_ROWS = "k1 long, k2 long, pos long, h long, left int, c1 long, c2 long, n long, context binary"
+#: What n says of a row besides "a context and its count".
+RUN, MEMBER = -1, 0
+#: Distinct contexts that a task counts before it passes them on.
+COUNTED = 1 << 15
 
 
-def _anchor_rows(least: int):
-    def run(batches):
-        for batch in batches:
-            for part in textvec.chunks(batch, "text", 1 << 19):
-                data, offsets = textvec.string_bytes(part.column("text"))
-                at, owner, h, _, _, context = anchors(data, offsets, least)
-                view = memoryview(data)
-                keys = [_digest(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()).take(pa.array(owner)), pa.array(at - offsets[owner]), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))],
-                    ["key", "pos", "h", "c"],
-                )
-
-    return run
+def _context_rows(least: int, wanted, segments: int):
+    """For anchors whose hash the filter may hold a row each (MEMBER) with their place
+    and their context's digest; of the contexts themselves, counted, a row each; and
+    ranges that repeat by their own period (RUN; pos and h are start and end)."""
+    _, span = gram(least)
 
+    def batch_of(k1, k2, pos, h, left, c, n, context):
+        c = np.frombuffer(b"".join(c), np.int64).reshape(-1, 2)
+        columns = [k1, k2, pos, h, pa.array(left, pa.int32()), pa.array(c[:, 0]), pa.array(c[:, 1]), n, pa.array(context, pa.binary())]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], _NAMES)
 
-def _context_rows(least: int, wanted, segments: int):
-    """Contexts (with the anchor's place in them) whose (h, c) the filter may hold;
-    a task sends a context once, unless it has met very many in between."""
+    def passed_on(counted: dict):
+        columns = [[r[i] for r in counted.values()] for i in range(6)]
+        return batch_of(*columns[:4], [left for left, _ in counted], columns[4], columns[5], [context for _, context in counted])
 
     def run(batches):
-        hold = membership(wanted.value, segments)
-        sent: set[int] = set()
+        hold, counted = membership(wanted.value, segments), {}
         for batch in batches:
-            for part in textvec.chunks(batch, "text", 1 << 19):
+            for part in textvec.chunks(batch, "text"):
                 data, offsets = textvec.string_bytes(part.column("text"))
-                at, owner, h, a, b, context = anchors(data, offsets, least)
-                both = textvec.mixed(h * np.uint64(3) + context)
-                some = np.flatnonzero(hold(both))
-                if not len(some):
+                at, h, runs = anchors(data, offsets, least)
+                some = hold(h)
+                at, h = at[some], h[some].view(np.int64)
+                k1, k2 = part.column("k1"), part.column("k2")
+                if len(runs):
+                    owner = np.searchsorted(offsets, runs[:, 0], "right") - 1
+                    lo, hi = runs[:, 0] - offsets[owner], runs[:, 1] - offsets[owner]
+                    none = np.zeros(len(runs), np.int64)
+                    yield batch_of(k1.take(pa.array(owner)), k2.take(pa.array(owner)), lo, hi, none, [bytes(16)] * len(runs), none + RUN, [None] * len(runs))
+                if not len(at):
                     continue
-                if len(sent) > 200_000:
-                    sent.clear()
-                fresh = []
-                for i, x in zip(some.tolist(), both[some].tolist()):
-                    if x not in sent:
-                        sent.add(x)
-                        fresh.append(i)
-                some = np.array(fresh, np.int64)
-                view = memoryview(data)
-                keys = {o: _digest(view[offsets[o]:offsets[o + 1]]) for o in np.unique(owner[some]).tolist()}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[some].view(np.int64)), pa.array(context[some].view(np.int64)), pa.array([keys[o] for o in owner[some].tolist()], pa.binary()),
-                        pa.array(at[some] - offsets[owner[some]]), pa.array(at[some] - a[some]),
-                        pa.array([bytes(view[x:y]) for x, y in zip(a[some].tolist(), b[some].tolist())], pa.binary()),
-                    ],
-                    ["h", "c", "key", "pos", "left", "context"],
-                )
+                owner = np.searchsorted(offsets, at, "right") - 1
+                a, b = np.maximum(at - (span - 1), offsets[owner]), np.minimum(at + least, offsets[owner + 1])
+                view, pos, left = memoryview(data), at - offsets[owner], at - a
+                contexts = [(place, bytes(view[x:y])) for place, x, y in zip(left.tolist(), a.tolist(), b.tolist())]
+                c = [hashlib.blake2b(x, digest_size=16, key=place.to_bytes(8, "little")).digest() for place, x in contexts]
+                own1, own2 = k1.take(pa.array(owner)), k2.take(pa.array(owner))
+                yield batch_of(own1, own2, pos, h, left, c, np.full(len(at), MEMBER), [None] * len(at))
+                for key, *row in zip(contexts, own1.to_pylist(), own2.to_pylist(), pos.tolist(), h.tolist(), c):
+                    held = counted.setdefault(key, [*row, 0])
+                    held[5] += 1
+                if len(counted) > COUNTED:
+                    yield passed_on(counted)
+                    counted = {}
+        if counted:
+            yield passed_on(counted)
 
     return run
 
 
-def membership(packed: np.ndarray, segments: int):
-    from .exact_dedup import _positions, _remixed, _segment_of
-
-    chunk_bits = len(packed) * 8 // segments
-
-    def hold(v: np.ndarray) -> np.ndarray:
-        at = _positions(_remixed(v), chunk_bits) + _segment_of(v, segments)[None, :] * chunk_bits
-        return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-
-    return hold
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
 def _sides(contexts: list[bytes], left: np.ndarray, least: int):
-    """Matrices of symbols to the right of each anchor and, reversed, to its left."""
+    """Matrices of symbols: the anchor's k-gram, what is to its right and, reversed, to its left."""
     k, span = gram(least)
     reach = span - 1
-    right_len = np.array([len(c) for c in contexts]) - left - k
-    right, back = (np.zeros((len(contexts), reach), np.uint8) for _ in range(2))
-    for i, (c, x) in enumerate(zip(contexts, left.tolist())):
-        raw = np.frombuffer(c, np.uint8)
-        right[i, : len(raw) - x - k] = raw[x + k:] + 1
-        back[i, :x] = raw[:x][::-1] + 1
-    return right, right_len, back, left
+    size = np.array([len(c) for c in contexts], np.int64)
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    middle = np.cumsum(size) - size + left  # where the k-grams start
+    right_len = size - left - k
+    at = np.arange(reach)
+    right = np.where(at < right_len[:, None], raw[np.minimum(middle[:, None] + k + at, len(raw) - 1)] + 1, 0).astype(np.uint8)
+    back = np.where(at < left[:, None], raw[np.maximum(middle[:, None] - 1 - at, 0)] + 1, 0).astype(np.uint8)
+    return raw[middle[:, None] + np.arange(k)], right, right_len, back, left
+
+
+def _grams_apart(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Numbers of the groups of rows that have one hash and one k-gram."""
+    group = np.unique(h, return_inverse=True)[1]
+    first = np.unique(group, return_index=True)[1]
+    if (grams == grams[first[group]]).all():
+        return group
+    each = np.ascontiguousarray(np.concatenate([h[:, None].view(np.uint8).reshape(len(h), 8), grams], axis=1))
+    return np.unique(each.view(f"V{each.shape[1]}").ravel(), return_inverse=True)[1]
 
 
 def repeated_reach(h: np.ndarray, times: np.ndarray, contexts: list[bytes], left: np.ndarray, least: int):
@@ -183,18 +233,20 @@ def repeated_reach(h: np.ndarray, times: np.ndarray, contexts: list[bytes], left
     bytes to the left of the anchor repeats (-1: none)."""
     _, span = gram(least)
     reach = span - 1
-    right, right_len, back, left_len = _sides(contexts, left, least)
+    grams, right, right_len, back, left_len = _sides(contexts, left, least)
+    group = _grams_apart(h, grams)
     n = len(contexts)
     lanes = []
     for rows, length in ((back, left_len), (right, right_len)):
-        order = suffix_order(rows, h)
+        order = suffix_order(rows, group)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        lanes.append((adjacent_lcp(rows, order, length, h), place, length))
+        lanes.append((adjacent_lcp(rows, order, length, group), place, length))
     (lcp_l, place_l, len_l), (lcp_r, place_r, len_r) = lanes
     most, fewest = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    shared = (np.bincount(group)[group] > 1) | (times > 1)  # a context alone in its group has no partner
     for a in range(reach + 1):
-        fits = np.flatnonzero((len_l >= a) & (len_r >= reach - a))
+        fits = np.flatnonzero(shared & (len_l >= a) & (len_r >= reach - a))
         if not len(fits):
             continue
         interval_l, interval_r = np.cumsum(lcp_l < a), np.cumsum(lcp_r < reach - a)
@@ -209,20 +261,25 @@ def repeated_reach(h: np.ndarray, times: np.ndarray, contexts: list[bytes], left
     return most, fewest
 
 
+_REACH = "k1 long, k2 long, pos long, c1 long, c2 long, n long, lo long, hi long"
+
+
 def _sorted_reach(least: int):
-    """Streams rows ordered by h; emits the covered interval of contexts that came once."""
+    """Streams distinct contexts ordered by h; emits of each that has a repeated
+    window what these cover, relative to the anchor."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table):
-            h, pos, left, n = (table.column(c).to_numpy() for c in ("h", "pos", "left", "n"))
-            most, fewest = repeated_reach(h, n, table.column("context").to_pylist(), left, least)
-            some = np.flatnonzero((n == 1) & (most >= 0))
-            return pa.RecordBatch.from_arrays(
-                [table.column("key").combine_chunks().take(pa.array(some)), pa.array(pos[some] - most[some]), pa.array(pos[some] - fewest[some] + least)],
-                ["key", "lo", "hi"],
-            )
+            h, left, n = (table.column(c).to_numpy() for c in ("h", "left", "n"))
+            most, fewest = repeated_reach(h, n, table.column("context").to_pylist(), left.astype(np.int64), least)
+            some = pa.array(np.flatnonzero(most >= 0))
+            most, fewest = most[some], fewest[some]
+            own = table.select(["k1", "k2", "pos", "c1", "c2", "n"]).take(some).combine_chunks()
+            columns = [own.column(c).combine_chunks() for c in own.column_names]
+            names = [*own.column_names, "lo", "hi"]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(-most), pa.array(least - fewest)], names)
 
         rows = 0
         for batch in batches:
@@ -242,110 +299,106 @@ def _sorted_reach(least: int):
     return run
 
 
-def _window_hashes(least: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def windows(h: pa.Array, left: pa.Array, context: pa.Array) -> pa.Array:
-        out = []
-        for anchor, x, c in zip(h.to_pylist(), left.to_pylist(), context.to_pylist()):
-            data = np.frombuffer(c, np.uint8)
-            start = np.arange(len(data) - least + 1)
-            v = textvec.range_hash(textvec.prefix_hash(data), start, start + least)
-            v = textvec.mixed(v + np.uint64(anchor & (2**64 - 1)) + (x - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            out.append(v.view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+def _each_window(least: int):
+    """Rows of contexts to one row for each of their windows: digest and start relative to the anchor."""
 
-    return windows
+    def run(batches):
+        for batch in batches:
+            for part in textvec.chunks(batch, "context", 1 << 16):
+                owner, at, w1, w2 = [], [], [], []
+                for i, (h, x, c) in enumerate(zip(*(part.column(name).to_pylist() for name in ("h", "left", "context")))):
+                    for start in range(len(c) - least + 1):
+                        d = hashlib.blake2b(c[start:start + least], digest_size=16, key=(h & 2**64 - 1).to_bytes(8, "little")).digest()
+                        owner.append(i)
+                        at.append(start - x)
+                        w1.append(int.from_bytes(d[:8], "little", signed=True))
+                        w2.append(int.from_bytes(d[8:], "little", signed=True))
+                columns = [part.column(c).take(pa.array(owner, pa.int64())) for c in ("k1", "k2", "pos", "c1", "c2", "n")]
+                columns += [pa.array(x, pa.int64()) for x in (at, w1, w2)]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "pos", "c1", "c2", "n", "at", "w1", "w2"])
+
+    return run
 
 
-def _counted_reach(rows: DataFrame, least: int) -> DataFrame:
+def _counted_reach(distinct: DataFrame, least: int) -> DataFrame:
     """What ``_sorted_reach`` gives, without bringing a hash's contexts together."""
-    each = rows.select("key", "pos", "left", "n", F.posexplode(_window_hashes(least)("h", "left", "context")).alias("at", "w"))
-    again = each.groupBy("w").agg(F.sum("n").alias("__n")).where("__n > 1").select("w")
-    mine = each.where("n = 1").join(again, "w")
-    start = F.col("pos") - F.col("left") + F.col("at")
-    return mine.groupBy("key", "pos").agg(F.min(start).alias("lo"), (F.max(start) + least).alias("hi")).select("key", "lo", "hi")
+    each = distinct.mapInArrow(_each_window(least), "k1 long, k2 long, pos long, c1 long, c2 long, n long, at long, w1 long, w2 long")
+    each = materialise(each, "windows")
+    key = ["w1", "w2", "at"]
+    again = each.groupBy(*key).agg(F.sum("n").alias("__n")).where("__n > 1").select(*key)
+    own = ["k1", "k2", "pos", "c1", "c2", "n"]
+    mine = each.join(materialise(again, "repeated-windows"), key).groupBy(*own)
+    return mine.agg(F.min("at").alias("lo"), (F.max("at") + least).alias("hi")).select(*own, "lo", "hi")
 
 
 def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE) -> DataFrame:
-    """(key, spans) for every distinct text of ``texts`` (column ``text``) in which a
+    """(k1, k2, spans) for every distinct text of ``texts`` (column ``text``) in which a
     string of ``least`` bytes also starts elsewhere; spans may overlap and exceed it."""
-    spark = texts.sparkSession
+    spark = session(texts)
     _, span = gram(least)
-    found = materialise(texts.mapInArrow(_anchor_rows(least), "key binary, pos long, h long, c long"), "anchors")
-    packed, segments = value_filter(found.select("h"), found.count())
-    twice = may_hold(spark.sparkContext.broadcast(packed), segments)
-    all_anchors = found
-    found = materialise(found.where(twice("h")), "repeated-anchors")
-    discard(all_anchors)
-    contexts = materialise(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "contexts")
-    hashes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest"))
-    hashes = materialise(hashes.where("kinds > 1 and fewest = 1").select("h", "kinds"), "hashes")
-    ends = materialise(contexts.join(hashes, "h"), "ends")
-
-    whole = found.join(contexts.where("n > 1").select("h", "c"), ["h", "c"])
-    whole = whole.select("key", (F.col("pos") - (span - 1)).alias("lo"), (F.col("pos") + least).alias("hi"))
-    mixed = _pair_hash()
-    packed, segments = value_filter(ends.select(mixed("h", "c").alias("x")), ends.count(), least=1)
-    wanted = spark.sparkContext.broadcast(packed)
-    rows = texts.mapInArrow(_context_rows(least, wanted, segments), "h long, c long, key binary, pos long, left long, context binary")
-    rows = rows.join(ends, ["h", "c"])
-    many = not hashes.where(F.col("kinds") > large).isEmpty()
-    if many:
-        rows = materialise(rows, "context-rows")
-    small = rows.where(F.col("kinds") <= large).select("h", "n", "key", "pos", "left", "context")
-    small = small.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_reach(least), "key binary, lo long, hi long")
-    if many:
-        small = small.unionByName(_counted_reach(rows.where(F.col("kinds") > large), least))
-    ends_of_repeats = materialise(small, "ends-of-repeats")
-    spans = whole.unionByName(ends_of_repeats).distinct()
-    spans = materialise(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    discard(found, contexts, hashes, ends, ends_of_repeats)
-    return spans
-
-
-def _pair_hash():
-    @F.arrow_udf(T.LongType())
-    def pair(h: pa.Array, c: pa.Array) -> pa.Array:
-        a, b = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (h, c))
-        return pa.array(textvec.mixed(a * np.uint64(3) + b).view(np.int64))
-
-    return pair
-
-
-_CUT = T.StructType([
-    T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
-    T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()),
-])
-
-
-@F.arrow_udf(_CUT)
-def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-    data, offsets = textvec.string_bytes(text)
-    view = memoryview(data)
-    out = {f.name: [] for f in _CUT.fields}
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        n, whole, runs = b - a, bytes(view[a:b]), []
-        own = spans[i]
-        if own.is_valid:
-            lo, hi = (own.values.field(c).to_numpy() for c in ("lo", "hi"))
-            order = np.argsort(lo, kind="stable")
-            lo, hi = np.maximum(lo[order], 0), np.minimum(hi[order], n)
-            far = np.maximum.accumulate(hi)
-            first = np.flatnonzero(np.concatenate([[True], lo[1:] > far[:-1]]))
-            runs = list(zip(lo[first].tolist(), far[np.append(first[1:], len(lo)) - 1].tolist()))
-        cuts = [0, *(x for run in runs for x in run), n]
-        kept = b"".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-        out["n_bytes"].append(n)
-        out["n_removed"].append(n - len(kept))
-        out["n_spans"].append(len(runs))
-        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        out["kept_text"].append(kept.decode("utf-8", "ignore"))
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-    return pa.StructArray.from_arrays([pa.array(out[c], kinds[c]) for c in kinds], list(kinds))
-
-
-def remove_repeats(docs: DataFrame, *, text: str = "text", least: int = LEAST, large: int = LARGE) -> DataFrame:
-    """``docs`` and a struct ``cut``: n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+    k1, k2 = digest("text")
+    texts = texts.where(F.octet_length("text") >= least).select("text", k1.alias("k1"), k2.alias("k2"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed, segments = value_filter(texts.select("text"), 1 + 2 * size // span, read=_anchor_hashes(least))
+    twice = spark.sparkContext.broadcast(packed)
+    found = materialise(texts.mapInArrow(_context_rows(least, twice, segments), _ROWS), "contexts")
+    runs = found.where(F.col("n") == RUN).select("k1", "k2", F.col("pos").alias("lo"), F.col("h").alias("hi"))
+    contexts = found.where("n > 0")
+    many = contexts.select("h", "c1", "c2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > large)
+    many = materialise(many.select("h"), "large-groups")
+    none_large = many.isEmpty()
+    distinct = contexts if none_large else contexts.join(many, "h", "left_anti")
+    # one shuffle by h serves the counting and the sorting
+    reach = _distinct(distinct.repartition("h")).sortWithinPartitions("h").mapInArrow(_sorted_reach(least), _REACH)
+    if not none_large:
+        reach = reach.unionByName(_counted_reach(_distinct(contexts.join(many, "h")), least))
+    reach = materialise(reach, "reach")
+    place = [(F.col("pos") + F.col(c)).alias(c) for c in ("lo", "hi")]
+    once = reach.where("n = 1").select("k1", "k2", *place)
+    members = found.where(F.col("n") == MEMBER).select("k1", "k2", "pos", "c1", "c2")
+    often = members.join(reach.where("n > 1").select("c1", "c2", "lo", "hi"), ["c1", "c2"]).select("k1", "k2", *place)
+    spans = once.unionByName(often).unionByName(runs).distinct()
+    out = materialise(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(found, many, reach)
+    return out
+
+
+def _distinct(contexts: DataFrame) -> DataFrame:
+    """Contexts with their counts over all tasks; k1, k2, pos: the one place of those that came once."""
+    own = [F.min(c).alias(c) for c in ("k1", "k2", "pos")]
+    return contexts.groupBy("h", "left", "c1", "c2", "context").agg(F.sum("n").alias("n"), *own)
+
+
+def _cutter(kept_text: bool):
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    kinds |= {"kept_text": pa.string()} if kept_text else {}
+    types = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
+
+    @F.arrow_udf(T.StructType([T.StructField(name, types[kind]) for name, kind in kinds.items()]))
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        data, offsets = textvec.string_bytes(text)
+        view, out = memoryview(data), {name: [] for name in kinds}
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            n, own, runs = b - a, spans[i], []
+            if own.is_valid:
+                lo, hi = (own.values.field(c).to_numpy() for c in ("lo", "hi"))
+                runs = _merged(np.maximum(lo, 0), np.minimum(hi, n)).tolist()
+            cuts = [0, *(x for run in runs for x in run), n]
+            kept = b"".join(view[a + x:a + y] for x, y in zip(cuts[::2], cuts[1::2]))
+            out["n_bytes"].append(n)
+            out["n_removed"].append(n - len(kept))
+            out["n_spans"].append(len(runs))
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            if kept_text:
+                out["kept_text"].append(kept.decode("utf-8", "ignore"))
+        return pa.StructArray.from_arrays([pa.array(out[c], kinds[c]) for c in kinds], list(kinds))
+
+    return cut.asNondeterministic()  # else a filter on it would have it evaluated twice
+
+
+def remove_repeats(docs: DataFrame, *, text: str = "text", least: int = LEAST, large: int = LARGE, kept_text: bool = True) -> DataFrame:
+    """``docs`` and a struct ``cut``: n_bytes, n_removed, n_spans, kept_sha256 and,
+    unless ``kept_text`` is off, kept_text.
 
     Every byte covered by a string of ``least`` bytes that also starts anywhere
     else in the column, the same text included, is removed; matches don't cross
@@ -355,16 +408,20 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", least: int = LEAST, l
     repeated ids don't matter, other columns pass through (one named ``cut`` is
     replaced), and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    texts = docs.select(F.col(text).alias("text"))
-    spans = repeated_intervals(texts, least, large)
-    packed, segments = value_filter(spans.select(F.xxhash64("key").alias("h")), spans.count(), least=1)
-    maybe = may_hold(spark.sparkContext.broadcast(packed), segments)
-    keyed = docs.drop("cut").withColumn("__key", text_key(F.col(text)))
-    keyed = keyed.withColumn("__some", maybe(F.xxhash64("__key")))
-    spans = spans.withColumnsRenamed({"key": "__k", "spans": "__spans"})
-    some = keyed.where("__some").join(spans, F.col("__key") == F.col("__k"), "left").drop("__k")
-    none = keyed.where("not __some").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
-    both = some.unionByName(none)
-    return both.withColumn("cut", _cut(F.col(text), F.col("__spans"))).drop("__key", "__some", "__spans")
+    spark = session(docs)
+    spans = repeated_intervals(docs.select(F.col(text).alias("text")), least, large)
+    packed, segments = value_filter(spans.select("k1"), spans.count(), least=1)
+    maybe = may_hold(spark.sparkContext.broadcast(packed), segments).asNondeterministic()
+    tag = "__quill"
+    k1, k2 = digest(F.col(text))
+    keyed = docs.drop("cut").withColumn(f"{tag}_1", k1).withColumn(f"{tag}_2", k2).withColumn(f"{tag}_some", maybe(f"{tag}_1"))
+    spans = spans.withColumnsRenamed({"k1": f"{tag}_a", "k2": f"{tag}_b", "spans": f"{tag}_spans"})
+    same = (F.col(f"{tag}_1") == F.col(f"{tag}_a")) & (F.col(f"{tag}_2") == F.col(f"{tag}_b"))
+    some = keyed.where(f"{tag}_some").join(spans, same, "left")
+    some = some.withColumn("cut", _cutter(kept_text)(F.col(text), F.col(f"{tag}_spans")))
+    own = F.coalesce(F.col(text), F.lit(""))
+    whole = [F.octet_length(own).cast("long").alias("n_bytes"), *(F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans"))]
+    whole += [F.sha2(own, 256).alias("kept_sha256")] + [own.alias("kept_text")] * kept_text
+    none = keyed.where(f"not {tag}_some").withColumn("cut", F.struct(*whole))
+    columns = [c for c in docs.columns if c != "cut"] + ["cut"]
+    return some.select(*columns).unionByName(none.select(*columns))

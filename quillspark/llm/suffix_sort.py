@@ -1,10 +1,10 @@
 """Deep-shallow sorting of many suffixes of bounded depth at once.
 
 Suffixes come as rows of a byte matrix: symbols are bytes + 1 (UTF-8 has no
-0xFF), and 0 fills what lies beyond a suffix's end. Rows are first ordered by a
-multikey sort, eight symbols a step, to ``SHALLOW`` symbols; whatever still ties
-there shares a long prefix, and each such group goes into a blind trie, whose
-in-order walk gives the rest of the order.
+0xFF), and 0 fills what lies beyond a suffix's end. Rows are first ordered by
+multikey quicksort to ``SHALLOW`` symbols; whatever still ties there shares a
+long prefix, and each such group goes into a blind trie, whose in-order walk
+gives the rest of the order.
 """
 
 from __future__ import annotations
@@ -16,38 +16,48 @@ SHALLOW = 32
 
 def suffix_order(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Permutation that sorts ``rows`` by (group, symbols)."""
-    n, depth = rows.shape
-    steps = min(SHALLOW, depth + 7 & ~7) // 8
-    head = np.zeros((n, steps * 8), np.uint8)
-    head[:, : min(depth, steps * 8)] = rows[:, : steps * 8]
-    head = head.view(">u8").astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    start = _starts(group[order])
-    for step in range(steps):
-        tied = _tied(start)
-        if not tied.any():
-            return order
-        block = np.cumsum(start)[tied]
-        some = order[tied]
-        within = np.lexsort((head[some, step], block))
-        order[tied] = some = some[within]
-        word = head[some, step]
-        start[tied] |= np.concatenate([[True], word[1:] != word[:-1]])
+    order, start = multikey_quicksort(rows, group)
     bounds = np.flatnonzero(np.append(start, True))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a > 1:
-            deep = order[a:b]
-            order[a:b] = deep[_trie_order([rows[i].tobytes() for i in deep])]
+    for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        a, b = int(bounds[i]), int(bounds[i + 1])
+        deep = order[a:b]
+        order[a:b] = deep[_trie_order([rows[i].tobytes() for i in deep])]
     return order
 
 
-def _starts(values: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
-
+def multikey_quicksort(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``rows`` by (group, first ``SHALLOW`` symbols), and where in it each
+    block of rows that still tie starts.
 
-def _tied(start: np.ndarray) -> np.ndarray:
-    """Rows whose block has another row."""
-    return ~(start & np.append(start[1:], True))
+    Every block has a pivot, the key of its middle row at the block's depth, and
+    falls into the rows below, at and above it; only those at the pivot go one key
+    deeper. A key is eight symbols. All blocks of a round are split together.
+    """
+    n, depth = rows.shape
+    keys = min(SHALLOW, depth + 7 & ~7) // 8
+    head = np.zeros((n, keys * 8), np.uint8)
+    head[:, : min(depth, keys * 8)] = rows[:, : keys * 8]
+    head = head.view(">u8").astype(np.uint64)
+    order = np.argsort(group, kind="stable")
+    start = np.concatenate([np.ones(min(1, n), bool), group[order][1:] != group[order][:-1]])
+    deep = np.zeros(n, np.int64)  # of the row at each place
+    while True:
+        alone = start & np.append(start[1:], True)
+        open_ = np.flatnonzero(~alone & (deep < keys))
+        if not len(open_):
+            return order, start
+        rows_here, first = order[open_], start[open_]
+        block = np.cumsum(first) - 1
+        begin = np.flatnonzero(first)
+        middle = begin + np.diff(np.append(begin, len(open_))) // 2
+        key = head[rows_here, deep[open_]]
+        pivot = key[middle][block]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        part = block * 3 + side
+        by = np.argsort(part, kind="stable")
+        order[open_] = rows_here[by]
+        deep[open_] = deep[open_][by] + (side[by] == 1)
+        start[open_] |= np.concatenate([[True], part[by][1:] != part[by][:-1]])
 
 
 def _mismatch(a: bytes, b: bytes) -> int:

@@ -23,10 +23,10 @@ def powers(kind: str, n: int) -> np.ndarray:
     """BASE (or its inverse) to the powers 0..n-1, modulo 2**64."""
     have = _POWERS[kind]
     if len(have) < n:
-        have = np.full(max(n, 1 << 21), BASE if kind == "up" else BASE_INVERSE, np.uint64)
+        have = np.full(max(n, 1 << 20), BASE if kind == "up" else BASE_INVERSE, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if n <= 1 << 23:
+        if n <= 1 << 21:  # at most 16 MiB stay
             _POWERS[kind] = have
     return have[:n]
 
@@ -90,7 +90,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Slices of a batch with about ``most`` bytes of ``column`` (one row at least)."""
     size = batch.column(column)
     if not len(size):

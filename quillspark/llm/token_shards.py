@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, shuffle_partitions
+from .common import session, shuffle_partitions
 from .textvec import chunks, mixed
 
 LENGTH, PER_SHARD, END_ID, ROUNDS = 1024, 4096, 2, 6
@@ -144,8 +144,7 @@ def write_shards(
     partitions come again. A null text is an empty one (the end id alone); ids,
     repeated rows and other columns don't matter. An empty table writes no shards.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    spark = session(docs)
     texts = docs.select(F.col(text).alias("text"))
     how = (tokenizer_json, ranks_file, length, end_id)
     found = {r["partition"]: r["n"] for r in texts.mapInArrow(_count(*how[:3]), "partition long, n long").collect()}  # a row per input split
@@ -181,7 +180,6 @@ def read_slots(spark: SparkSession, layout: Layout, first: int = 0, last: int |
     schema = T.StructType([T.StructField(name, kind) for name, kind, _ in fields])
     if last <= first:
         return spark.createDataFrame([], schema)
-    arrow_rows(spark, 1)  # a file a batch
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(layout.path)
     files = files.where(F.col("shard").between(first // layout.per_shard, (last - 1) // layout.per_shard))
 

@@ -2,7 +2,8 @@
 
 Most of a batch's time in a BPE library goes into words that come again and
 again. Here the batch is cut into pre-tokens with numpy, each distinct pre-token
-is encoded once by the tokenizer's own merges, and the ids are gathered. Texts
+is encoded once by the tokenizer's own merges, and the ids are gathered. A
+pre-token is found by a 64-bit hash and then compared letter by letter. Texts
 that the cutting rules below don't cover (letters beyond Latin, contractions)
 go through the library whole, so the ids are always those of the tokenizer.
 """
@@ -33,6 +34,52 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _extended(flat: np.ndarray, at: np.ndarray, n: int, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n lists one after another (``at``: where each starts), and more of them."""
+    used, total = int(at[n]), int(sizes.sum())
+    while len(flat) < used + total:
+        flat = np.concatenate([flat, np.zeros_like(flat)])
+    while len(at) < n + len(sizes) + 1:
+        at = np.concatenate([at, np.zeros_like(at)])
+    flat[used:used + total] = values
+    at[n + 1:n + 1 + len(sizes)] = used + np.cumsum(sizes)
+    return flat, at
+
+
+class HashTable:
+    """64-bit keys to numbers by open addressing, looked up a whole array at a time."""
+
+    def __init__(self, bits: int = 20):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)  # 0: free
+        self.values = np.zeros(1 << bits, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it isn't there."""
+        slot = (h >> self.shift).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, self.values[slot], np.int32(-1))
+        todo = np.flatnonzero((key != h) & (key != 0))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & self.mask
+            key = self.keys[slot[todo]]
+            hit = key == h[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there yet."""
+        slot, todo = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = h[free]  # of several that want a slot the last gets it
+            won = free[self.keys[slot[free]] == h[free]]
+            self.values[slot[won]] = values[won]
+            todo = todo[self.keys[slot[todo]] != h[todo]]
+            slot[todo] = slot[todo] + 1 & self.mask
+
+
 class BatchEncoder:
     """``encode(texts)`` gives (flat ids as uint32, offsets of the texts in them)."""
 
@@ -47,9 +94,9 @@ class BatchEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
+        self.known, self.count_known = HashTable(), 0
+        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # ids of what is known
+        self.letters, self.letters_at = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64)  # and its letters
 
     @staticmethod
     def _pieces(ranks_file: str):
@@ -65,24 +112,24 @@ class BatchEncoder:
     def _pieces_of_library(self, piece: bytes) -> list[int]:
         return self.whole.encode(piece.decode(), add_special_tokens=False).ids
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
-        used, n = int(self.at[len(self.known)]), len(self.known)
-        ids = list(map(self.single, pieces))
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lens.sum())
-        while len(self.flat) < used + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.at) < n + len(ids) + 1:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[used:used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.at[n + 1:n + 1 + len(ids)] = used + np.cumsum(lens)
-        self.known.update(zip(hashes, range(n, n + len(ids))))
+    def _learn(self, hashes: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        n = self.count_known
+        text, lens = cp.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass"), end - start
+        ids = [self.single(text[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(start.tolist(), end.tolist())]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat, self.at = _extended(self.flat, self.at, n, sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+        places = np.repeat(start - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+        self.letters, self.letters_at = _extended(self.letters, self.letters_at, n, lens, cp[places])
+        self.known.add(hashes, np.arange(n, n + len(ids), dtype=np.int32))
+        self.count_known += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined, cp, bounds, odd = self._points(texts)
+        cp, bounds, odd = self._points(texts)
         if odd is not None:
             return self._split(texts, odd)
-        which, token = self._known(joined, cp, bounds)
+        which, token, known = self._known(cp, bounds)
+        if not known:
+            return self._split(texts, np.ones(len(texts), bool))
         lens = self.at[which + 1] - self.at[which]
         ends = np.cumsum(lens)
         gather = np.repeat(self.at[which] - ends + lens, lens)
@@ -91,17 +138,16 @@ class BatchEncoder:
 
     def count(self, texts: list[str]) -> int:
         """How many ids ``encode`` would give."""
-        joined, cp, bounds, odd = self._points(texts)
+        cp, bounds, odd = self._points(texts)
         if odd is not None:
             return len(self._split(texts, odd)[0])
-        which, _ = self._known(joined, cp, bounds)
-        return int((self.at[which + 1] - self.at[which]).sum())
+        which, _, known = self._known(cp, bounds)
+        return int((self.at[which + 1] - self.at[which]).sum()) if known else len(self._split(texts, np.ones(len(texts), bool))[0])
 
     def _points(self, texts: list[str]):
-        """The texts joined, their code points and bounds, and which texts the
-        cutting rules don't cover (None: they cover all)."""
-        joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        """The texts' code points, their bounds, and which texts the cutting rules
+        don't cover (None: they cover all)."""
+        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=bounds[1:])
         odd = cp >= FIRST_UNCOVERED
@@ -110,34 +156,41 @@ class BatchEncoder:
             nxt = cp[np.minimum(quote + 1, len(cp) - 1)]
             odd[quote[np.isin(nxt, np.frombuffer("stmdrlv".encode("utf-32-le"), np.uint32))]] = True
         if not odd.any():
-            return joined, cp, bounds, None
-        return joined, cp, bounds, np.add.reduceat(np.append(odd, False), bounds[:-1]) * (np.diff(bounds) > 0) > 0
-
-    def _known(self, joined: str, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each pre-token among those known (all are, afterwards), and
-        the first pre-token of each text."""
-        if len(self.known) > REMEMBERED:
+            return cp, bounds, None
+        return cp, bounds, np.add.reduceat(np.append(odd, False), bounds[:-1]) * (np.diff(bounds) > 0) > 0
+
+    def _known(self, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The number of each pre-token among those known (all are, afterwards), the
+        first pre-token of each text, and whether all letters are those of the known
+        ones (two pre-tokens of one hash would differ here)."""
+        if self.count_known > REMEMBERED:
             self.clear()
         start = self._starts(cp, bounds)
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64), True
         end = np.append(start[1:], len(cp))
         prefix = np.zeros(len(cp) + 1, np.uint64)
-        np.multiply(cp.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019), powers("up", len(cp)), out=prefix[1:])
+        np.multiply(cp, np.uint64(0xD1342543DE82EF95), out=prefix[1:])
+        prefix[1:] += np.uint64(0x632BE59BD9B4E019)
+        prefix[1:] *= powers("up", len(cp))
         np.cumsum(prefix, out=prefix)
-        h = (prefix[end] - prefix[start]) * powers("down", len(prefix))[start]
-        h = mixed(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        index = list(map(self.known.get, keys))
-        missing = [i for i, x in enumerate(index) if x is None]
-        if missing:
-            a, b = start[first[missing]].tolist(), end[first[missing]].tolist()
-            n = len(self.known)
-            self._learn([keys[i] for i in missing], [joined[x:y].encode("utf-8", "surrogatepass") for x, y in zip(a, b)])
-            for k, i in enumerate(missing):
-                index[i] = n + k
-        return np.array(index, np.int64)[inverse], np.searchsorted(start, bounds)
+        h = prefix[end]
+        h -= prefix[start]
+        h *= powers("down", len(prefix))[start]
+        h += (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        h = np.maximum(mixed(h), np.uint64(1))
+        which = self.known.find(h)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            distinct, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            self._learn(distinct, cp, start[first], end[first])
+            which[missing] = self.known.find(h[missing])
+        size = np.diff(start, append=len(cp))
+        places = np.repeat(self.letters_at[which] - start, size)
+        places += np.arange(len(cp))
+        known = bool((self.letters_at[which + 1] - self.letters_at[which] == size).all()) and bool((self.letters[places] == cp).all())
+        return which, np.searchsorted(start, bounds), known
 
     def _starts(self, cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where pre-tokens start: runs of letters, numbers or other characters,

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from .common import session
 
 BLANK = "▁"
 #: Below the lowest piece score: what a byte-fallback letter costs for each byte.
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", name: str = "id
     columns pass through, one called ``name`` is replaced, and an empty table
     gives an empty result.
     """
-    arrow_rows(docs.sparkSession)
+    session(docs)
 
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:
