@@ -2,16 +2,20 @@
 
 A page becomes a sequence of tokens: runs of words, which score their number of
 words, and tags, which score negative weights. One linear scan finds the
-contiguous region with the greatest sum, which is the article. Weights are
+contiguous region with the greatest sum, which is the article. Words of a container
+that don't outweigh its own tags (an advert between two paragraphs) score
+negative instead, and give no text if the region goes across them.
+
+A tag's feature is its name with its first class, if it has one. Weights are
 learned from labelled pages (those that mark their content with exactly one
 <article> or <main>): they start as log-odds of a tag standing outside the
 marked content, and a structured perceptron mends them: while the best region of a
 page differs from the marked one, tags that only the best region holds get
-cheaper and those that only the marked one holds dearer. The marking tags
-themselves carry no label into the weights of other pages' tags but their own.
+dearer and those that only the marked one holds cheaper. Tags of running
+text never weigh more than ``TEXT_TAG``, since lists and links stand in articles
+too, whatever the labelled pages hold.
 
-Elements that are never content (``DROPPED``, and classes or ids in
-``DROPPED_CLASSES``) give no text wherever they stand.
+Only elements that can't hold readable text (``SILENT``) give none wherever they stand.
 """
 
 from __future__ import annotations
@@ -28,101 +32,132 @@ from pyspark.sql import types as T
 
 from .common import session
 
-#: Labelled pages that the fit reads at most, and passes over them.
-SAMPLE, PASSES = 300, 8
+#: Labelled pages that the fit reads at most, their longest, and passes over them.
+SAMPLE, SAMPLE_CHARS, PASSES = 300, 200_000, 8
 # What HTML's elements are.
-DROPPED = frozenset(
-    "head title script style noscript template nav header footer aside form button select option textarea input iframe svg canvas "
-    "object menu dialog".split()
-)
+SILENT = frozenset("head title script style noscript template iframe svg canvas object button select option textarea".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article blockquote body dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre "
-    "section summary table tbody td tfoot th thead tr ul caption center".split()
-)
-DROPPED_CLASSES = frozenset(
-    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored comment comments reply replies disqus "
-    "sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs header site-header footer site-footer notice notices cookie "
-    "cookies consent popup modal newsletter subscribe share sharing social related recommended login signup search widget".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
+    "h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements around content, not of it, by their meaning in HTML.
+AROUND = frozenset("aside dialog footer form header menu nav".split())
+CONTAINERS = AROUND | frozenset("center details div fieldset figure section table".split())
+#: They hold the whole page or the whole content, and so say nothing.
+NEUTRAL = frozenset("article body html main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
-#: Weights before any page is seen.
-INLINE_TAG, BLOCK_TAG = -0.02, -0.2
+#: Weights before any page is seen, and the least one of tags of running text.
+INLINE_TAG, BLOCK_TAG, AROUND_TAG, TEXT_TAG = -0.02, -0.2, -20.0, -1.5
+NOTHING = -0.001
+
 
+def tokens(page: str) -> list[tuple[str, str, bool]]:
+    """(kind, value, silent) in page order: kind "w" with text, or a tag's feature
+    such as "<p" or "</div.ad" with its name; silent: gives no text."""
+    out, stack, at, silent = [], [], 0, 0
+    open_, blocks = Counter(), []  # names of open elements; places of blocks in the stack
+
+    def close(i: int) -> None:
+        nonlocal silent
+        for tag, _, bad in stack[i:]:
+            open_[tag] -= 1
+            silent -= bad
+        del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
 
-def tokens(page: str):
-    """(kind, value, dropped) in page order: kind "w" with text, or a tag's feature
-    such as "<p" or "</div.ad"; dropped: inside an element that is never content."""
-    out, stack, at = [], [], 0
-    dropped = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[2] is None:
             if m[0][0] != "<" or m[0] == "<":  # else a comment, or a tag whose quotes don't end
-                out.append(("w", m[0], dropped > 0))
+                out.append(("w", m[0], silent > 0))
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for _, _, bad in stack[i:]:
-                        dropped -= bad
-                    out.append(("</" + stack[i][1], tag, dropped > 0 or stack[i][2]))
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                feature, bad = stack[i][1:]
+                close(i)
+                out.append(("</" + feature, tag, silent > 0 or bad))
             continue
-        names = {w for c in _CLASS.finditer(m[3]) for w in (c[1] or c[2] or c[3] or "").lower().split()} if "=" in m[3] else ()
-        marked = DROPPED_CLASSES.intersection(names)
-        bad = tag in DROPPED or bool(marked)
-        feature = f"{tag}.{min(marked)}" if marked else tag
-        if tag == "p":  # a new paragraph ends an open one
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in BLOCKS:
-                    if stack[i][0] == "p":
-                        for _, _, was in stack[i:]:
-                            dropped -= was
-                        del stack[i:]
-                    break
-        out.append(("<" + feature, tag, dropped > 0 or bad))
+        if tag == "p" and blocks and stack[blocks[-1]][0] == "p":  # a new paragraph ends an open one
+            close(blocks[-1])
+        named = _CLASS.search(m[3]) if "=" in m[3] else None
+        feature, bad = f"{tag}.{named[1].lower()}" if named else tag, tag in SILENT
+        out.append(("<" + feature, tag, silent > 0 or bad))
         if tag in VOID or m[0].endswith("/>"):
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
-            if end is None and bad:
-                at = len(page)
-            elif bad:
-                at = end.end()
-            if bad:
-                continue
+            at = end.end() if end else len(page)
+            continue
+        if tag in BLOCKS:
+            blocks.append(len(stack))
         stack.append((tag, feature, bad))
-        dropped += bad
+        open_[tag] += 1
+        silent += bad
     return out
 
 
-def weight(feature: str, weights: dict[str, float]) -> float:
+def weight(feature: str, tag: str, weights: dict[str, float]) -> float:
+    if tag in NEUTRAL:
+        return NOTHING
     got = weights.get(feature)
-    if got is not None:
-        return got
-    return BLOCK_TAG if feature.lstrip("</") in BLOCKS else INLINE_TAG
+    if got is None and "." in feature:  # a class not met in the fit: as the bare tag
+        got = weights.get(feature.split(".")[0])
+    if got is None:
+        got = AROUND_TAG if tag in AROUND else BLOCK_TAG if tag in BLOCKS else INLINE_TAG
+    return min(got if tag in CONTAINERS else max(got, TEXT_TAG), NOTHING)
+
 
+def token_scores(page_tokens: list, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores, and which words stand in a low container.
 
-def token_scores(page_tokens: list, weights: dict[str, float]) -> np.ndarray:
-    """Words score positive, tags negative; words of dropped elements nothing."""
-    out = []
-    for kind, value, dropped in page_tokens:
-        if dropped:  # gives no text, so a region may as well go across it
-            out.append(0.0 if kind == "w" else -0.001)
-        elif kind == "w":
-            out.append(float(len(value.split())))
-        else:
-            out.append(min(weight(kind, weights), -0.001))
-    return np.array(out)
+    Words score positive, tags negative. A container whose own words (those in no
+    container inside it) don't outweigh its own tags is *low*: its words score
+    negative, so that a region only goes across it for more words than it has.
+    """
+    scores, low, open_ = np.zeros(len(page_tokens)), np.zeros(len(page_tokens), bool), []
+
+    def close(end: int | None) -> None:
+        feature, tags, own, places = open_.pop()
+        if own and own + tags < 0:
+            low[places[1:]] = True
+            scores[places] *= -1
+            scores[places[0]] = NOTHING
+            if end is not None:
+                scores[end] = NOTHING
+
+    for i, (kind, value, silent) in enumerate(page_tokens):
+        if kind == "w":
+            n = 0 if silent else len(value.split())  # silent ones give no text, so a region may as well go across them
+            scores[i] = n
+            if n and open_:
+                open_[-1][2] += n
+                open_[-1][3].append(i)
+            continue
+        scores[i] = NOTHING if silent else weight(kind, value, weights)
+        if silent or value not in CONTAINERS and value not in NEUTRAL:
+            continue
+        if kind[1] != "/":
+            open_.append([kind[1:], scores[i], 0, [i]])
+        elif any(frame[0] == kind[2:] for frame in reversed(open_)):
+            while open_[-1][0] != kind[2:]:
+                close(None)  # never closed itself
+            open_[-1][1] += scores[i]
+            close(i)
+    while open_:
+        close(None)
+    return scores, low
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -138,12 +173,13 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end + 1
 
 
-def region_text(page_tokens: list, start: int, end: int) -> str:
-    """Blocks of the region in page order, joined by blank lines."""
+def region_text(page_tokens: list, low: np.ndarray, start: int, end: int) -> str:
+    """Blocks of the region in page order, joined by blank lines, without low containers."""
     blocks, words = [], []
-    for kind, value, dropped in page_tokens[start:end]:
+    for i in range(start, end):
+        kind, value, silent = page_tokens[i]
         if kind == "w":
-            if not dropped:
+            if not silent and not low[i]:
                 words.append(value)
         elif value in BLOCKS:
             blocks.append("".join(words))
@@ -158,8 +194,8 @@ def region_text(page_tokens: list, start: int, end: int) -> str:
 def _marked_region(page_tokens: list) -> tuple[tuple[int, int], tuple[int, int]] | None:
     """First to last word of the only <article> or <main>, and all that is in it."""
     for tag in ("article", "main"):
-        opens = [i for i, t in enumerate(page_tokens) if t[0] == "<" + tag]
-        closes = [i for i, t in enumerate(page_tokens) if t[0] == "</" + tag]
+        opens = [i for i, t in enumerate(page_tokens) if t[1] == tag and t[0].startswith("<" + tag)]
+        closes = [i for i, t in enumerate(page_tokens) if t[1] == tag and t[0].startswith("</" + tag)]
         if len(opens) == len(closes) == 1:
             inner = [i for i in range(opens[0], closes[0]) if page_tokens[i][0] == "w" and page_tokens[i][1].strip() and not page_tokens[i][2]]
             return ((inner[0], inner[-1] + 1), (opens[0] + 1, closes[0])) if inner else None
@@ -169,32 +205,31 @@ def _marked_region(page_tokens: list) -> tuple[tuple[int, int], tuple[int, int]]
 def fit(pages: list[str]) -> dict[str, float]:
     """Tag weights under which the best region of each labelled page is the marked one."""
     weights: dict[str, float] = {}
-    labelled, inside, outside = [], Counter(), Counter()
+    labelled, inside, outside, tag_of = [], Counter(), Counter(), {}
     for page in pages:
         t = tokens(page)
         gold = _marked_region(t)
         if gold:
             labelled.append((t, gold[0]))
-            for i, (kind, _, dropped) in enumerate(t):
-                if kind != "w" and not dropped:
+            for i, (kind, tag, silent) in enumerate(t):
+                if kind != "w" and not silent:
                     (inside if gold[1][0] <= i < gold[1][1] else outside)[kind] += 1
+                    tag_of[kind] = tag
     for feature in inside | outside:  # log-odds of standing outside, and at least a little
         odds = 4 * np.log((outside[feature] + 0.5) / (inside[feature] + 0.5))
-        weights[feature] = min(weight(feature, {}), -float(odds)) if odds > 0 else INLINE_TAG
+        weights[feature] = min(weight(feature, tag_of[feature], {}), -float(odds)) if odds > 0 else INLINE_TAG
     for _ in range(PASSES):
         wrong = 0
         for t, gold in labelled:
-            found = best_region(token_scores(t, weights))
+            found = best_region(token_scores(t, weights)[0])
             if found == gold:
                 continue
             wrong += 1
             step = 0.1 * max(1, abs(found[0] - gold[0]) + abs(found[1] - gold[1])) ** 0.5
-            for i in range(*found):
-                if not gold[0] <= i < gold[1] and t[i][0] != "w" and not t[i][2]:
-                    weights[t[i][0]] = weight(t[i][0], weights) - step
-            for i in range(*gold):
-                if not found[0] <= i < found[1] and t[i][0] != "w" and not t[i][2]:
-                    weights[t[i][0]] = min(-0.001, weight(t[i][0], weights) + step)
+            for (a, b), (other_a, other_b), change in ((found, gold, -step), (gold, found, step)):
+                for i in range(a, b):
+                    if not other_a <= i < other_b and t[i][0] != "w" and not t[i][2]:
+                        weights[t[i][0]] = min(NOTHING, weight(*t[i][:2], weights) + change)
         if not wrong:
             break
     return weights
@@ -202,15 +237,23 @@ def fit(pages: list[str]) -> dict[str, float]:
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     page_tokens = tokens(page or "")
-    return region_text(page_tokens, *best_region(token_scores(page_tokens, weights)))
+    scores, low = token_scores(page_tokens, weights)
+    return region_text(page_tokens, low, *best_region(scores))
 
 
 def fit_on(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> dict[str, float]:
-    """Fits on at most ``SAMPLE`` pages, of at most 200,000 characters, by a hash of their id."""
+    """Fits on at most ``SAMPLE`` pages, of at most ``SAMPLE_CHARS`` characters, by a
+    hash of their id.
+
+    Pages without a mark, null pages and null ids aren't learned from; of rows that
+    share an id the smallest page counts; other columns don't matter. Without any
+    labelled page the weights before any page are used.
+    """
     some = pages.select(F.col(page_id).alias("k"), F.col(html).alias("h"))
-    some = some.where((F.length("h") <= 200_000) & F.col("h").rlike("(?i)<(article|main)[ >]"))
-    picked = some.select("k").where(F.col("k").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    rows = some.join(F.broadcast(picked.distinct()), "k").collect()  # SAMPLE ids at most
+    some = some.where((F.length("h") <= SAMPLE_CHARS) & F.col("h").rlike("(?i)<(article|main)[ >]"))
+    picked = some.select("k").where(F.col("k").isNotNull()).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    # at most SAMPLE ids are broadcast, and as many pages come back
+    rows = some.join(F.broadcast(picked), "k").groupBy("k").agg(F.min("h").alias("h")).collect()
     return fit([r["h"] for r in sorted(rows, key=lambda r: (r["k"], r["h"]))])
 
 
