@@ -14,15 +14,18 @@ level ends its branch, and 3e-4 where the fourth does.
 
 Sketches only say who may be linked, and a node hands on a spanning forest of
 that, never its pairs. What hangs together is a *cluster*; its documents come
-together once, with their texts, and all its links are decided on the full
-shingle sets through an inverted index. Clusters over ``TOGETHER`` documents or
-``SHINGLES`` shingles are cut into blocks, and each pair of blocks is a task.
+together once, with their full shingle sets, and all its links are decided through
+an inverted index. In a cluster over ``TOGETHER`` documents or ``SHINGLES``
+shingles each document is first compared with one neighbour; then only those
+outside the largest group that this confirms, the *open* ones, are compared with
+all others, in blocks on both sides. So a large group of copies is spread over
+many tasks, and its sets are copied for each block of open documents only.
 
 What keeps groups of copies cheap: documents with equal sets are one vertex from
 the start, and a node whose documents are already in one cluster is finished.
 No bucket, partner or candidate is capped, nothing but a size-bounded Bloom
-filter is broadcast, and joins are plain equi-joins that adaptive execution
-splits when a key is hot.
+filter is broadcast by these operators, and joins are plain equi-joins that
+adaptive execution splits when a key is hot.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ TREES = 12
 SMALL = 256
 OUTSIDE = 1024
 BLOCK = 2048
-TOGETHER = 4096
-SHINGLES = 3_000_000
+TOGETHER = 512
+SHINGLES = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(0xC405E4))
 _A = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -94,7 +97,7 @@ def _embed(words: int):
             for part in textvec.chunks(batch, "text"):
                 n, k1, k2, tokens = [], [], [], []
                 for s in shingle_sets(part.column("text"), words):
-                    key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                    key = _set_key(s)
                     n.append(len(s))
                     k1.append(int(key[0]))
                     k2.append(int(key[1]))
@@ -205,54 +208,52 @@ def _listed(values: pa.StructArray) -> tuple[np.ndarray, ...]:
     return *numbers, _matrix(values.field("sketch"), np.uint8)
 
 
-def linked_pairs(sets: list[np.ndarray], share: tuple[int, int]):
-    """For each set but the first, which earlier ones it is linked with, exactly:
-    an inverted index counts its shingles in common with all of them at once."""
+def linked_with(queries: list[np.ndarray], sets: list[np.ndarray], share: tuple[int, int]):
+    """For each query the places of the sets it is linked with, exactly: an inverted
+    index counts its shingles in common with all of them at once."""
     num, den = share
     size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    term, posting = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(term, kind="stable")
-    posting = owner[order]  # by term, and by set within one
-    starts = np.searchsorted(term[order], np.arange(term.max() + 2))
-    place = np.empty(len(order), np.int64)  # where in its term's postings a set's shingle stands
-    place[order] = np.arange(len(order))
-    ends = np.concatenate([[0], np.cumsum(size)])
-    for i in range(1, len(sets)):
-        mine = slice(ends[i], ends[i + 1])
-        first = starts[term[mine]]
-        count = place[mine] - first  # earlier sets with this shingle
-        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        common = np.bincount(posting[at], minlength=i)
-        yield i, np.flatnonzero(den * common >= num * (size[:i] + size[i] - common))
-
-
-def _decide(words: int, share: tuple[int, int]):
-    """Streams rows ordered by part (cluster, i, j): emits for each a spanning
-    forest of its exact links."""
-
-    def work(rows: list[tuple[int, pa.Array]]):
-        ids = np.array([r[0] for r in rows])
-        sets = [s for at in range(0, len(rows), 64) for s in shingle_sets(pa.array([r[1] for r in rows[at:at + 64]], pa.string()), words)]
-        order = np.argsort(ids, kind="stable")
-        ids, sets = ids[order], [sets[i] for i in order]
-        root = np.arange(len(ids))
-        for i, linked in linked_pairs(sets, share):
-            for r in np.unique(root[linked]).tolist():
+    term, posting = term[order], posting[order]
+    for q in queries:
+        first, last = np.searchsorted(term, q, "left"), np.searchsorted(term, q, "right")
+        count = last - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        common = np.bincount(posting[at], minlength=len(sets))
+        yield np.flatnonzero(den * common >= num * (size + len(q) - common))
+
+
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    data, at = textvec.string_bytes(column)
+    data = np.frombuffer(data.tobytes(), np.uint64)  # aligned
+    return [data[a:b] for a, b in zip((at[:-1] >> 3).tolist(), (at[1:] >> 3).tolist())]
+
+
+def _decide(share: tuple[int, int]):
+    """Streams rows ordered by part (cluster, i, j): emits for each the links of its
+    queries that join components, as far as these are known."""
+
+    def work(rows: list[tuple]):
+        ids, known, query, sets = zip(*rows)
+        _, root = np.unique(known, return_inverse=True)
+        asked = [i for i, q in enumerate(query) if q]
+        for i, linked in zip(asked, linked_with([sets[i] for i in asked], list(sets), share)):
+            found, first = np.unique(root[linked], return_index=True)
+            for r, x in zip(found.tolist(), linked[first].tolist()):
                 if r != root[i]:
-                    yield int(ids[r]), int(ids[i])
-                    low, high = sorted((r, int(root[i])))
-                    root[root == high] = low
+                    yield ids[x], ids[i]
+                    root[root == r] = root[i]
 
     def run(batches):
         part, held = None, []
         for batch in batches:
             links = []
-            for *key, doc, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for *key, doc, known, query, s in zip(*(batch.column(i).to_pylist() for i in range(6)), _sets_of(batch.column(6))):
                 if key != part:
                     links += work(held) if len(held) > 1 else ()
                     part, held = key, []
-                held.append((doc, text))
+                held.append((doc, known, query, s))
             yield _pairs(links)
         if len(held) > 1:
             yield _pairs(list(work(held)))
@@ -264,15 +265,64 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _confirm(share: tuple[int, int]):
+    """Of (a, b, sa, sb) the pairs that are linked."""
+    num, den = share
+
+    def run(batches):
+        for batch in batches:
+            fine = []
+            for x, y in zip(_sets_of(batch.column(2)), _sets_of(batch.column(3))):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                fine.append(den * common >= num * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return run
+
+
+def _full_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            for part in textvec.chunks(batch, "text"):
+                sets = shingle_sets(part.column("text"), words)
+                key = np.array([_set_key(s) for s in sets]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "set"])
+
+    return run
+
+
+def _set_key(s: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+
+
 class _Join:
+    """``vertices``: id, doc, k1, k2, n, tokens, sketch, a row for each distinct set;
+    ``texts``: id (of a document) and text."""
+
     def __init__(self, texts: DataFrame, vertices: DataFrame, words: int, share: tuple[int, int]):
         self.texts, self.vertices, self.words, self.share = texts, vertices, words, share
         self.similarity = share[0] / share[1]
-        self.edges: DataFrame | None = None  # what may hang together
+        self.edges: list[DataFrame] = []  # what may hang together
         self.cluster: DataFrame | None = None
 
     def add(self, edges: DataFrame) -> None:
-        self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+        """Takes more edges, and brings the clusters up to date with them alone."""
+        edges = materialise(edges.distinct(), "candidates")
+        self.edges.append(edges)
+        ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if self.cluster is None:
+            self.cluster = connected_components(edges)
+            return
+        known = self.cluster.withColumnRenamed("component", "cluster")
+        between = edges
+        for end in ("a", "b"):
+            between = between.join(known.withColumnsRenamed({"id": end, "cluster": f"c{end}"}), end, "left")
+        between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+        merged = connected_components(materialise(between, "between"))
+        every = known.unionByName(ends.join(known, "id", "left_anti").withColumn("cluster", F.col("id")))
+        every = every.join(merged.withColumnRenamed("id", "cluster"), "cluster", "left").select("id", F.coalesce("component", "cluster").alias("component"))
+        before, self.cluster = self.cluster, materialise(every, "clusters")
+        discard(before, merged)
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         if self.cluster is None:
@@ -295,7 +345,7 @@ class _Join:
             lists = blocks.join(outside, "path").select("members", "others")
         return lists.mapInArrow(_forest(self.similarity), "a long, b long")
 
-    def level(self, nodes: DataFrame) -> DataFrame:
+    def level(self, nodes: DataFrame) -> DataFrame | None:
         """Takes edges from one level of the trees; returns the nodes below it."""
         shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
         shared = materialise(shared.where("size > 1"), "shared-nodes")  # both sides of the join are plain exchanges then
@@ -308,48 +358,92 @@ class _Join:
         left = v.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = v.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         star = star.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-        edges = edges.unionByName(star.mapInArrow(_by_sketch(self.similarity), "a long, b long"))
-        self.add(materialise(edges.distinct(), "candidates"))
+        self.add(edges.unionByName(star.mapInArrow(_by_sketch(self.similarity), "a long, b long")))
 
         large = nodes.where(F.col("size") > SMALL).select("path", "id", "size")
         if large.isEmpty():
-            return large
-        self.cluster = connected_components(self.edges)
+            discard(shared, nodes)
+            return None
         large = materialise(self.labelled(large), "large-nodes")
         parts = large.groupBy("path", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
         parts = parts.groupBy("path", "size").agg(F.max("n").alias("most"), F.max_by("cluster", "n").alias("main"))
         parts = parts.where("most < size").select("path", "main", (F.col("size") - F.col("most")).alias("outside"))
-        large = materialise(large.join(materialise(parts, "parts"), "path"), "open-nodes")
+        parts = materialise(parts, "parts")
+        open_ = materialise(large.join(parts, "path"), "open-nodes")
         ends = F.col("outside") <= OUTSIDE
-        self.add(materialise(self.compared(large.where(ends), False).distinct(), "candidates"))
-        below = large.where(~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
-        return materialise(below.mapInArrow(_branch, "path long, id long"), "branches")
+        self.add(self.compared(open_.where(ends), False))
+        below = open_.where(~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
+        below = materialise(below.mapInArrow(_branch, "path long, id long"), "branches")
+        discard(shared, nodes, large, parts, open_)
+        return below
 
     def run(self) -> DataFrame:
-        """(id, component) of all documents that have an exact link."""
+        """(id, component) of all vertices that have an exact link."""
         nodes = self.level(self.vertices.select("id", "tokens").mapInArrow(_roots, "path long, id long"))
-        while not nodes.isEmpty():
+        while nodes is not None and not nodes.isEmpty():
             nodes = self.level(nodes)
-        clusters = connected_components(self.edges).withColumnRenamed("component", "cluster")
-        sized = clusters.join(self.vertices.groupBy("id").agg(F.max("n").alias("n")), "id")
-        sizes = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+        clusters = self.cluster.withColumnRenamed("component", "cluster")
+        placed = clusters.join(self.vertices.select("id", "n"), "id")
+        sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
         one = (F.col("docs") <= TOGETHER) & (F.col("shingles") <= SHINGLES)
-        blocks = F.greatest(F.ceil(2 * F.col("docs") / TOGETHER), F.ceil(2 * F.col("shingles") / SHINGLES))
-        sizes = materialise(sizes.select("cluster", F.when(one, 1).otherwise(blocks).cast("int").alias("blocks")), "cluster-sizes")
-        placed = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        # a document goes to each pair of blocks that its own is in; mostly that is one task
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.select("id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        placed = materialise(placed, "placed")
+        blocks = F.when(one, 1).otherwise(1 + F.greatest(F.ceil(2 * F.col("docs") / TOGETHER), F.ceil(2 * F.col("shingles") / SHINGLES)))
+        sizes = materialise(sizes.select("cluster", blocks.cast("int").alias("blocks")), "cluster-sizes")
+        placed = materialise(clusters.join(sizes, "cluster"), "placed")
+        sets = self.full_sets(placed)
+        one = F.col("blocks") == 1
+        zero = F.lit(0).cast("int")
+        rows = placed.where(one).select("cluster", zero.alias("i"), zero.alias("j"), "id", F.col("id").alias("known"), F.lit(True).alias("query"))
+        several = placed.where(~one)
+        confirmed = None
+        if not several.isEmpty():
+            confirmed = self.confirmed(several.select("id"), sets)
+            rows = rows.unionByName(self.blocks(several, confirmed))
+        rows = rows.join(sets, "id").select("cluster", "i", "j", "id", "known", "query", "set")
+        rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        links = rows.mapInArrow(_decide(self.share), "a long, b long")
+        links = materialise(links if confirmed is None else links.unionByName(confirmed), "links")
+        discard(sets, placed, sizes, *self.edges)
+        return connected_components(links)
 
+    def full_sets(self, placed: DataFrame) -> DataFrame:
+        """(id, set) of the placed vertices, read from the texts again."""
         spark = placed.sparkSession
-        packed, segments = value_filter(clusters.select(F.xxhash64("id").alias("h")), clusters.count(), least=1)
+        wanted = materialise(placed.select("id").join(self.vertices.select("id", "doc", "k1", "k2"), "id"), "wanted")
+        packed, segments = value_filter(wanted.select(F.xxhash64("doc").alias("h")), wanted.count(), least=1)
         needed = may_hold(spark.sparkContext.broadcast(packed), segments)
-        texts = self.texts.where(needed(F.xxhash64("id")))
-        rows = placed.join(texts, "id").select("cluster", "i", "j", "id", "text")
-        rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        links = materialise(rows.mapInArrow(_decide(self.words, self.share), "a long, b long"), "links")
-        return connected_components(links)
+        texts = self.texts.where(needed(F.xxhash64("id"))).select("text")
+        sets = materialise(texts.mapInArrow(_full_sets(self.words), "k1 long, k2 long, set binary"), "found-sets")
+        out = materialise(sets.join(wanted.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "set").dropDuplicates(["id"]), "sets")
+        discard(wanted, sets)
+        return out
+
+    def confirmed(self, vertices: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of the edges between each vertex and its smallest neighbour those that are links."""
+        edges = None
+        for e in self.edges:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            edges = both if edges is None else edges.unionByName(both)
+        edges = edges.groupBy("a").agg(F.min("b").alias("b")).join(vertices.withColumnRenamed("id", "a"), "a")
+        edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "to-confirm")
+        for end in ("a", "b"):
+            edges = edges.join(sets.withColumnsRenamed({"id": end, "set": f"s{end}"}), end)
+        return materialise(edges.select("a", "b", "sa", "sb").mapInArrow(_confirm(self.share), "a long, b long"), "confirmed")
+
+    def blocks(self, several: DataFrame, confirmed: DataFrame) -> DataFrame:
+        """Rows for ``_decide``: every block of a large cluster with every chunk of its
+        open vertices, those outside its largest confirmed component."""
+        known = connected_components(confirmed).withColumnRenamed("component", "known")
+        rows = several.join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
+        rows = materialise(rows, "known")
+        parts = rows.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("main"), (F.sum("n") - F.max("n")).alias("open"), F.sum("n").alias("docs"))
+        chunks = F.ceil(F.col("open") * F.lit(1.0) / F.col("docs") * F.col("blocks")).cast("int")
+        rows = rows.join(materialise(parts.where("open > 0"), "open-clusters"), "cluster").withColumn("chunks", F.greatest(chunks, F.lit(1)))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        block = rows.select("cluster", own("blocks").alias("i"), all_("chunks").alias("j"), "id", "known", F.lit(False).alias("query"))
+        chunk = rows.where("known <> main").select("cluster", all_("blocks").alias("i"), own("chunks").alias("j"), "id", "known", F.lit(True).alias("query"))
+        return materialise(block.unionByName(chunk), "block-rows")
 
 
 def near_duplicates(
@@ -357,29 +451,35 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked when their shingle sets have a Jaccard similarity of
-    ``share`` or more; ``component_id`` is the smallest id reachable, and that
-    document stays. ``doc_id`` must be an integer column. A null or wordless text
-    has an empty set and is linked with nothing; so is a row with a null id (its
-    component is null, and it stays). Rows that repeat an id are judged each by
-    its own text. Other columns are ignored; an empty table gives no rows.
+    Rows are linked when their shingle sets have a Jaccard similarity of ``share``
+    or more; ``component_id`` is the smallest id reachable, and that document
+    stays. ``doc_id`` must be an integer column. A null or wordless text has an
+    empty set and is linked with nothing; so is a row with a null id (its component
+    is null, and it stays). Rows that repeat an id are rows of their own: sharing
+    an id links nothing, and each is judged by its own text. Other columns are
+    ignored; an empty table gives no rows.
     """
     session(docs)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialise(texts.mapInArrow(_embed(words), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
     linked = sets.where("id is not null and n > 0")
     groups = linked.groupBy("k1", "k2").agg(F.min("id").alias("first"))
-    groups = materialise(groups, "groups")
-    members = materialise(linked.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "n", "first"), "members")
+    # a number for each distinct set, fixed by being written
+    groups = materialise(groups.withColumn("v", F.monotonically_increasing_id()), "groups")
+    members = materialise(linked.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "n", "first", "v"), "members")
     chosen = linked.join(groups, ["k1", "k2"]).where("id = first")
     sketch = F.concat(*(F.substring("tokens", 4 * i + 1, 1) for i in range(COORDINATES)))
-    vertices = materialise(chosen.select("id", "n", "tokens", sketch.alias("sketch")).dropDuplicates(["id", "n", "tokens"]), "vertices")
+    vertices = chosen.select(F.col("v").alias("id"), F.col("first").alias("doc"), "k1", "k2", "n", "tokens", sketch.alias("sketch"))
+    vertices = materialise(vertices.dropDuplicates(["id"]), "vertices")
     alone = materialise(sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component")), "alone")
-    discard(sets, groups)
-    component = _Join(texts, vertices, words, share).run()
-    members = members.join(component.withColumnRenamed("id", "first"), "first", "left")
-    members = members.select("id", "n", F.coalesce("component", "first").alias("component"))
-    out = members.unionByName(alone)
+    discard(sets)
+    parts = _Join(texts, vertices, words, share).run().withColumnsRenamed({"id": "v", "component": "part"})
+    smallest = groups.select("v", "first").join(parts, "v")
+    smallest = smallest.join(smallest.groupBy("part").agg(F.min("first").alias("component")), "part").select("v", "component")
+    smallest = materialise(smallest, "smallest")
+    discard(vertices, groups)
+    out = members.join(smallest, "v", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
+    out = out.unionByName(alone)
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
