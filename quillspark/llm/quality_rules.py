@@ -1,16 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 A rule rejects a document whose signal is over a cutoff. Cutoffs are chosen per
-stratum (band of lengths) from labelled documents, none of which shape the rules
-themselves: signals and candidate cutoffs are fixed beforehand. For each
-candidate the exact (Clopper-Pearson) upper bound of the share of good documents
-that it rejects is compared with the signal's share of ``RISK``. Candidates of a
-signal in a stratum are tested from the mildest on, in that fixed order, until
-one fails, which needs no correction among them; a Bonferroni correction spreads
-``DELTA`` over strata and signals. The last that passed is used. So with
-probability 1 - ``DELTA`` no stratum loses more than ``RISK`` of its good
-documents to the rules together; where labels are too few to show that, nothing
-is rejected.
+stratum (band of lengths) from labelled documents, which are split in two by a
+hash of their id:
+
+1. The *drafting* part proposes. For each signal it takes the strictest candidate
+   that spares nearly all of its good documents and rejects some of its bad ones;
+   signals go in the order of how many bad ones they reject.
+2. The *holdout* decides. The rules of a stratum form nested sets: the first signal
+   alone, the first two, and so on. Of each set, in this fixed order, the exact
+   (Clopper-Pearson) upper bound of the share of good documents that it rejects
+   is compared with ``RISK``, until one exceeds it; the last set that passed is
+   used. A fixed order that the holdout had no part in needs no correction within
+   a stratum; Bonferroni's spreads ``DELTA`` over the strata.
+
+So with probability 1 - ``DELTA`` no stratum loses more than ``RISK`` of its good
+documents to all its rules together. Where labels are too few to show that (some
+200 good documents in the holdout of a stratum), nothing is rejected.
 
 Only counts per stratum and candidate reach the driver: a fixed number of them.
 """
@@ -22,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 # The base rules, the strata and the candidates.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -38,6 +44,8 @@ SIGNALS = {
 }
 CANDIDATES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.5)
 RISK, DELTA = 0.02, 0.05
+#: Share of the drafting part's good documents that one proposed rule may reject, and thirds of labels in that part.
+DRAFT_RISK, DRAFT_THIRDS = 0.002, 1
 
 
 def features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -115,29 +123,61 @@ def upper_bound(rejected: int, of: int, delta: float) -> float:
     return high
 
 
-def cutoffs(counts: dict[str, tuple[int, dict[tuple[str, float], int]]], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """(stratum, signal) to the chosen cutoff. counts: good documents by stratum,
-    and how many of them each (signal, candidate) would reject."""
-    each = delta / (len(STRATA) * len(SIGNALS))
-    chosen = {}
-    for name, (good, rejected) in counts.items():
+Counts = dict[str, tuple[int, int, dict[tuple[str, float], tuple[int, int]]]]
+
+
+def proposed(counts: Counts, draft_risk: float = DRAFT_RISK) -> dict[str, list[tuple[str, float]]]:
+    """Rules of each stratum in the order of their tests. counts, of the drafting
+    part by stratum: good and bad documents, and how many of either each (signal,
+    candidate) would reject."""
+    out = {}
+    for name, (good, _, rejected) in counts.items():
+        rules = []
         for sig in SIGNALS:
-            for c in reversed(CANDIDATES):  # the mildest first
-                if not good or upper_bound(rejected[sig, c], good, each) > risk / len(SIGNALS):
-                    break
-                chosen[name, sig] = c
+            fine = [c for c in CANDIDATES if rejected[sig, c][0] <= draft_risk * good and rejected[sig, c][1] > 0]
+            if fine:
+                rules.append((rejected[sig, min(fine)][1], sig, min(fine)))
+        out[name] = [(sig, c) for _, sig, c in sorted(rules, key=lambda r: (-r[0], r[1]))]
+    return out
+
+
+def proven(rules: dict[str, list[tuple[str, float]]], counts: dict[str, tuple[int, list[int]]], risk: float = RISK, delta: float = DELTA):
+    """(stratum, signal) to the cutoff in use. counts, of the holdout by stratum: good
+    documents, and how many of them each rule rejects first, in the rules' order."""
+    chosen = {}
+    for name, ordered in rules.items():
+        good, first = counts.get(name, (0, []))
+        lost = 0
+        for (sig, c), n in zip(ordered, first):
+            lost += n
+            if not good or upper_bound(lost, good, delta / len(STRATA)) > risk:
+                break
+            chosen[name, sig] = c
     return chosen
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, label: str = "quality") -> dict[tuple[str, str], float]:
-    good = labels.where(F.col(label) == 1).select("doc_id").distinct()
-    held = measured.join(good, "doc_id").where(~base_failed()).withColumn("stratum", stratum())
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("good"))
+    known = known.where(F.col("good").isin(0, 1))  # an id with both labels counts as good
+    drafting = F.crc32(F.concat(F.lit("rules "), F.col("doc_id").cast("string"))) % 3 < DRAFT_THIRDS
+    labelled = measured.join(known, "doc_id").where(~base_failed())
+    labelled = materialise(labelled.withColumn("stratum", stratum()).withColumn("drafting", drafting), "labelled")
     names = [(sig, c) for sig in SIGNALS for c in CANDIDATES]
-    sums = [F.count_if(signal(sig) > c).alias(f"c{i}") for i, (sig, c) in enumerate(names)]
-    counts = {}
-    for row in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *sums).collect():  # one row per stratum
-        counts[row["stratum"]] = (row["good"], {name: row[f"c{i}"] for i, name in enumerate(names)})
-    return cutoffs(counts)
+    good = F.col("good") == 1
+    over = [F.count_if((signal(sig) > c) & which).alias(f"c{i}_{k}") for i, (sig, c) in enumerate(names) for k, which in enumerate((good, ~good))]
+    counts: Counts = {}
+    for r in labelled.where("drafting").groupBy("stratum").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), *over).collect():
+        counts[r["stratum"]] = (r["good"], r["bad"], {name: (r[f"c{i}_0"], r[f"c{i}_1"]) for i, name in enumerate(names)})
+    rules = proposed(counts)
+    first = F.lit(None).cast("int")  # the number of the first rule that rejects the document
+    for name, ordered in rules.items():
+        for k, (sig, c) in reversed(list(enumerate(ordered))):
+            first = F.when((F.col("stratum") == name) & (signal(sig) > c), F.lit(k)).otherwise(first)
+    held = labelled.where(~F.col("drafting") & good).withColumn("first", first)
+    sums = [F.count_if(F.col("first") == k).alias(f"r{k}") for k in range(len(SIGNALS))]
+    held = {r["stratum"]: (r["good"], [r[f"r{k}"] for k in range(len(SIGNALS))]) for r in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *sums).collect()}
+    discard(labelled)
+    return proven(rules, held)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
