@@ -24,13 +24,16 @@ def to_unsigned(c: Column, bits: int) -> Column:
     taken sixteen at a time, which keeps every step within 38 digits.
     """
     c = _text(c)
+    # numbers of up to 18 digits, which are nearly all, fit into a long
+    short = F.pmod(c.try_cast("decimal(18,0)") if bits == 64 else c.try_cast("long"), F.lit(Decimal(2**bits)) if bits == 64 else F.lit(2**bits))
     digits = F.lpad(F.right(c, F.lit(bits)), bits, "0")
     value = F.lit(0).cast("decimal(38,0)")
     modulus, shift = F.lit(Decimal(2**bits)), F.lit(Decimal(10**_CHUNK))
     for at in range(0, bits, _CHUNK):
         chunk = F.substring(digits, at + 1, _CHUNK).try_cast("decimal(16,0)")
         value = F.pmod((value.cast("decimal(20,0)") * shift + chunk).cast("decimal(38,0)"), modulus)
-    return F.when(c.rlike(r"\A[0-9]+\z"), value).otherwise(F.lit(0)).cast("decimal(20,0)")
+    full = F.when(c.rlike(r"\A[0-9]+\z"), value).otherwise(F.lit(0)).cast("decimal(20,0)")
+    return F.when(c.rlike(r"\A[0-9]{1,18}\z"), short.cast("decimal(20,0)")).otherwise(full)
 
 
 def to_u64(c: Column) -> Column:
@@ -46,8 +49,10 @@ def to_u16(c: Column) -> Column:
 
 
 def to_char_field(c: Column, size: int) -> Column:
-    """At most size - 1 characters; a size of zero or less leaves nothing."""
-    return F.left(_text(c), F.lit(max(size - 1, 0)))
+    """At most size - 1 bytes of the text's UTF-8; a size of zero or less leaves
+    nothing, and a letter that doesn't fit whole goes entirely."""
+    raw, most = _text(c).cast("binary"), max(size - 1, 0)
+    return F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, max(most - k, 0)).cast("string")) for k in range(4)))
 
 
 def is_null_date(c: Column) -> Column:

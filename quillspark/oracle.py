@@ -84,5 +84,15 @@ ORACLE = {
     "csv_roundtrip": _DIRECT,
     "csv_reject_short_rows": f"""select * replace (case when summons_number % 3 = 1 then 0 else fiscal_year end as fiscal_year)
         from ({_DIRECT}) where summons_number % 3 <> 0""",
+    "load_statistics": """select count(*) as lines, count(*) filter (where o_orderkey % 3 <> 0) as parsed,
+        count(*) filter (where o_orderkey % 3 = 0) as skipped from orders""",
+    "engine_append_load": """select count(*) as first_load, count(*) as second_load, cast(0 as bigint) as first_id,
+        2 * count(*) - 1 as last_id, 2 * count(*) as ids from orders""",
+    "missing_file_load": "select cast(0 as bigint) as loaded, cast(0 as bigint) as records",
+    "insert_rows": """select * from (values (cast(0 as bigint), '9223372036854775809', 'ABC', cast(0 as bigint), cast(0 as integer)),
+        (1, '2', '', 20240229, 21)) t(row_id, summons_number, plate_id, issue_date, violation_code)""",
+    "engine_selection": """select engine, count(*) filter (where o_orderkey % 99 = 3) as code, count(*) filter (where o_orderkey % 2 = 0) as county,
+        count(*) filter (where o_orderpriority = '1-URGENT') as plate, engine = 'clustered' as has_copies
+        from orders, (values ('scan'), ('clustered')) t(engine) group by engine""",
     "csv_file_load": f"{_DIRECT} union all {_DIRECT}",
 } | {f"enum_{d}": _enum(d) for d in DICTIONARIES}

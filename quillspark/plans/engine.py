@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import operators as ops
 from ..scratch import scratch_path
-from ..sources import load_csv, write_clustered
+from ..sources import load_csv, stored_bytes, write_clustered
 
 
 @dataclass
@@ -45,6 +45,7 @@ class Engine:
         self.spark, self.indexed, self.bounded_years, self.max_precinct = spark, indexed, bounded_years, max_precinct
         self.store: DataFrame | None = None
         self.layouts: dict[str, DataFrame] = {}
+        self.layout_paths: list[str] = []
         self.build_time_ms = 0.0
         self._size: int | None = None
 
@@ -65,13 +66,27 @@ class Engine:
         self.store = records if self.store is None else self.store.unionByName(records)
         self._size = None
         if self.indexed:
-            self.build()
+            self._index(records)
 
     def build(self) -> None:
+        """Writes all clustered copies anew, each as one sorted whole."""
+        self.layouts, self.layout_paths, self.build_time_ms = {}, [], 0.0
+        if self.store is not None:
+            self._index(self.store)
+
+    def _index(self, records: DataFrame) -> None:
+        """Clustered copies of new records stand beside the older ones; these stay as they are."""
         start = time.perf_counter()
         for name, column in self.INDEXED.items():
-            self.layouts[name] = write_clustered(self.store, scratch_path(self.spark, f"by-{name}"), column, bloom=("plate_id",))
-        self.build_time_ms = 1000 * (time.perf_counter() - start)
+            path = scratch_path(self.spark, f"by-{name}")
+            layout = write_clustered(records, path, column, bloom=("plate_id",))
+            self.layouts[name] = self.layouts[name].unionByName(layout) if name in self.layouts else layout
+            self.layout_paths.append(path)
+        self.build_time_ms += 1000 * (time.perf_counter() - start)
+
+    def index_bytes(self) -> int:
+        """What the clustered copies take on disk."""
+        return sum(stored_bytes(self.spark, path) for path in self.layout_paths)
 
     def record_count(self) -> int:
         if self._size is None:
@@ -91,7 +106,7 @@ class Engine:
         return self._result(ops.by_code(self._for("code"), code))
 
     def find_by_plate(self, plate: str) -> QueryResult:
-        return self._result(ops.by_plate(self.store, plate))
+        return self._result(ops.by_plate(self._for("date"), plate))  # clustered copies have Bloom filters for plates
 
     def find_by_state(self, code: int) -> QueryResult:
         return self._result(ops.by_state(self._for("state"), code))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,36 @@ class BenchmarkEntry:
         return ",".join([*BenchmarkEntry.__dataclass_fields__, "throughput"])
 
 
+def print_stats(entries: list[BenchmarkEntry], file: TextIO | None = None) -> None:
+    """A line for each entry, aligned, under a header."""
+    out = file or sys.stdout
+    print(f"{'name':<28}{'engine':<12}{'mean ms':>12}{'stddev':>12}{'min':>12}{'max':>12}{'median':>12}{'runs':>6}{'scanned':>12}{'matched':>12}{'rows/s':>16}", file=out)
+    for e in entries:
+        numbers = "".join(f"{x:>12.3f}" for x in (e.mean, e.stddev, e.min, e.max, e.median))
+        print(f"{e.name:<28}{e.engine:<12}{numbers}{e.runs:>6}{e.scanned:>12}{e.matched:>12}{e.throughput:>16.0f}", file=out)
+
+
+def print_stats_csv(entries: list[BenchmarkEntry], file: TextIO | None = None) -> None:
+    for line in (BenchmarkEntry.csv_header(), *(e.csv_row() for e in entries)):
+        print(line, file=file or sys.stdout)
+
+
+def peak_memory_mb(spark: SparkSession) -> dict[str, float]:
+    """Peak memory of each JVM so far, by executor id: heap and beyond, as the
+    executors last reported; for the driver, which also runs the tasks of a local
+    session, the sum of its own memory pools' peaks."""
+    jvm, out = spark._jvm, {}
+    pools = jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    out["driver"] = sum(p.getPeakUsage().getUsed() for p in pools) / 1e6
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    for i in range(executors.size()):
+        e = executors.apply(i)
+        if e.id() != "driver" and e.peakMemoryMetrics().isDefined():
+            m = e.peakMemoryMetrics().get()
+            out[e.id()] = sum(m.getMetricValue(x) for x in ("JVMHeapMemory", "JVMOffHeapMemory")) / 1e6
+    return out
+
+
 def run_benchmark(run: Callable[[], DataFrame], iterations: int, warmup: int = 1) -> list[float]:
     """Milliseconds of each run after the warm-up."""
     out = []

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import operators as ops
+from .plans.engine import Engine
 from .plans.harness import stats_summary
 from .schema import COLUMNS, DICTIONARIES
 from .scratch import scratch_path
-from .sources import load_csv, parse_lines, write_clustered
+from .sources import load_csv, load_statistics, parse_lines, records_from_rows, write_clustered
 
 JANUARY = (19950101, 19950131)
 STATES = "A N"  # return flags that the stand-in dictionary knows; R is unknown
@@ -268,7 +269,8 @@ def _record_lines(spark, sf_dir, fields: int = 44) -> DataFrame:
         "street_name": F.lit("5, Main"), "fiscal_year": F.year("o_orderdate").cast("string"),
     }
     cells = [F.concat(F.lit('"'), made.get(c, F.lit("")), F.lit('"')) for c in COLUMNS][:fields]
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", *cells).alias("value"))
+    orders = _table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)  # as a text file of that size would be split
+    return orders.select("o_orderkey", F.concat_ws(",", *cells).alias("value"))
 
 
 _SHOWN = ("summons_number", "plate_id", "issue_date", "violation_code", "violation_precinct", "registration_state", "violation_county", "street_name", "fiscal_year")
@@ -294,12 +296,55 @@ def csv_reject_short_rows(spark, sf_dir):
 
 def csv_file_load(spark, sf_dir):
     """The lines written as CRLF files with a header, loaded from two of them."""
+    path = _line_file(spark, sf_dir)
+    records = load_csv(spark, path, path, store=scratch_path(spark, "store"))
+    return _shown(records.where("row_id >= 0"))
+
+
+def _line_file(spark, sf_dir, broken: bool = False) -> str:
+    """The lines as a CRLF file with a header; with ``broken``, each third one is short."""
     path = scratch_path(spark, "csv")
-    lines = _record_lines(spark, sf_dir).select(F.concat("value", F.lit("\r")).alias("value"))
+    value = F.when(F.lit(broken) & (F.col("o_orderkey") % 3 == 0), F.concat(F.lit("short,"), F.col("o_orderkey").cast("string"))).otherwise(F.col("value"))
+    lines = _record_lines(spark, sf_dir).select(F.concat(value, F.lit("\r")).alias("value"))
     header = spark.createDataFrame([("header\r",)], "value string")
     header.coalesce(1).unionByName(lines.coalesce(1)).coalesce(1).write.text(path)
-    records = load_csv(spark, path, path, store=scratch_path(spark, "store"))
-    return _shown(records.where("row_id >= 0"))
+    return path
+
+
+def load_statistics_of_file(spark, sf_dir):
+    return load_statistics(spark, _line_file(spark, sf_dir, broken=True))
+
+
+def engine_append_load(spark, sf_dir):
+    """The public load, twice: the second one appends and row ids go on."""
+    path, engine = _line_file(spark, sf_dir), Engine(spark)
+    loaded = [engine.load(path), engine.load(path)]
+    ids = engine.store.agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count_distinct("row_id").alias("ids"))
+    return ids.select(*(F.lit(n).cast("long").alias(c) for c, n in zip(("first_load", "second_load"), loaded)), *ids.columns)
+
+
+def missing_file_load(spark, sf_dir):
+    engine = Engine(spark)
+    n = engine.load(scratch_path(spark, "no-such-file"))
+    return spark.range(1).select(F.lit(n).cast("long").alias("loaded"), F.lit(engine.record_count()).cast("long").alias("records"))
+
+
+def insert_rows(spark, sf_dir):
+    """A store from values in memory; what a row doesn't name is zero or empty."""
+    rows = [{"summons_number": 2**63 + 1, "plate_id": "ABC"}, {"summons_number": 2, "issue_date": 20240229, "violation_code": 21}]
+    records = records_from_rows(spark, rows)
+    return records.select("row_id", F.col("summons_number").cast("string").alias("summons_number"), "plate_id", "issue_date", "violation_code")
+
+
+def engine_selection(spark, sf_dir):
+    """The same searches by either engine; the clustered one has copies that take room."""
+    path, out = _line_file(spark, sf_dir), []
+    for indexed in (False, True):
+        engine = Engine(spark, indexed=indexed)
+        engine.load(path)
+        found = [engine.find_by_violation_code(3).count(), engine.find_by_county(2).count(), engine.find_by_plate("1-URGENT").count()]
+        out.append((engine.engine_name, *found, engine.index_bytes() > 0))
+    return spark.createDataFrame(out, "engine string, code long, county long, plate long, has_copies boolean")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -310,6 +355,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         agg_count_by_fiscal_year_bounded, count_in_date_range, date_extremes, date_extremes_empty, first_n_groups, top_groups, row_lookup,
         append_load, indexed_filter_date, indexed_filter_code, indexed_filter_state, indexed_filter_county, index_build, text_pool_size,
         to_u64, to_u32, to_u16, to_char_field, is_null_date, parse_date, text_field_name, csv_tokenize, csv_roundtrip,
-        csv_reject_short_rows, csv_file_load,
+        csv_reject_short_rows, csv_file_load, engine_append_load, missing_file_load, insert_rows, engine_selection,
     )
-} | {"stats_summary": stats_of_events} | {f"enum_{d}": _enum(d) for d in DICTIONARIES}
+} | {"stats_summary": stats_of_events, "load_statistics": load_statistics_of_file} | {f"enum_{d}": _enum(d) for d in DICTIONARIES}

@@ -29,8 +29,10 @@ def typed_columns(tokens: Column) -> list[Column]:
 def parse_lines(lines: DataFrame, value: str = "value", *keep: str) -> DataFrame:
     """Typed records of text lines: trailing carriage returns go, then empty lines
     and those with too few fields. ``keep`` names columns that stay."""
-    lines = lines.withColumn("__line", F.regexp_replace(value, r"\r+\z", "")).where("__line <> ''")
-    lines = lines.withColumn("__tokens", csv_tokens(F.col("__line"))).where(F.size("__tokens") >= LEAST_FIELDS)
+    lines = lines.withColumn("__line", F.rtrim(value, F.lit("\r")))
+    # a filter on the tokens would be moved below them and evaluate them twice; a generator stays
+    wide = F.filter(F.array(csv_tokens(F.col("__line"))), lambda t: F.size(t) >= LEAST_FIELDS)
+    lines = lines.select(*keep, F.explode(wide).alias("__tokens"))
     return lines.select(*keep, *typed_columns(F.col("__tokens")))
 
 
@@ -69,7 +71,7 @@ def load_csv(spark: SparkSession, *paths: str, store: str) -> DataFrame:
 
 def load_statistics(spark: SparkSession, path: str) -> DataFrame:
     """(lines, parsed, skipped): lines that aren't empty, below the first."""
-    lines = _lines(spark, path).select(F.regexp_replace("value", r"\r+\z", "").alias("line")).where("line <> ''")
+    lines = _lines(spark, path).select(F.rtrim("value", F.lit("\r")).alias("line")).where("line <> ''")
     fine = F.size(csv_tokens(F.col("line"))) >= LEAST_FIELDS
     out = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(fine).alias("parsed"))
     return out.withColumn("skipped", F.col("lines") - F.col("parsed"))

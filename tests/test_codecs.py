@@ -47,6 +47,9 @@ def test_known_codes():
 
 
 def test_char_field_and_names(spark):
+    assert values(spark, ["aé中\U0001f600"], *(fn.to_char_field(F.col("s"), n) for n in (1, 2, 3, 4, 6, 7, 10, 11, 12))) == [
+        ("", "a", "a", "aé", "aé", "aé中", "aé中", "aé中\U0001f600", "aé中\U0001f600")
+    ]
     assert values(spark, ["TOYOT", "ABCDEF", ""], fn.to_char_field(F.col("s"), 6), fn.to_char_field(F.col("s"), 4), fn.to_char_field(F.col("s"), 0)) == [
         ("TOYOT", "TOY", ""), ("ABCDE", "ABC", ""), ("", "", "")]
     df = spark.createDataFrame([(i,) for i in (-1, 0, 20, 21)], "i int")
