@@ -2,7 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns the columns of ``documents``; the last one returns the packed
-pieces. ``run`` writes each stage's rows to the shared folder before the next.
+pieces. ``run`` writes each stage's rows to the shared folder before the next, and
+deletes what the stage and its predecessor wrote there.
+
+Odd rows: a null text is an empty one. Empty texts have a score like others, are
+one group of copies, near copies of nothing, and one end id for the packing.
+Rows with a null id are scored and packed like others; of equal texts one with an
+id goes before them, and near copies don't concern them. Rows that repeat id and
+text stay together, being one document; rows that share an id alone are judged
+each by its own text, but where one of them is a near copy its id goes. Of ties the
+largest id stays among exact copies and the smallest among near ones. Texts of any
+length are read whole. Columns beyond those of ``documents`` are dropped, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import quality_model
-from quillspark.llm.common import materialise, table
+from quillspark.llm.common import discard, materialise, scope, session, table
 from quillspark.llm.exact_dedup import exact_dedup, may_hold, value_filter
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.packing import pack
@@ -27,9 +38,10 @@ SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the ids in ``dropped``; rows that a bounded Bloom filter of
     these ids clears don't shuffle."""
+    session(docs)
     packed, segments = value_filter(dropped.select(F.xxhash64("doc_id").alias("h")), dropped.count(), least=1)
     maybe = may_hold(docs.sparkSession.sparkContext.broadcast(packed), segments)
-    docs = docs.withColumn("__maybe", F.coalesce(maybe(F.xxhash64("doc_id")), F.lit(False)))
+    docs = docs.withColumn("__maybe", F.coalesce(maybe.asNondeterministic()(F.xxhash64("doc_id")), F.lit(False)))
     rest = docs.where("__maybe").join(dropped, "doc_id", "left_anti")
     return docs.where("not __maybe").unionByName(rest).select(*COLUMNS)
 
@@ -71,9 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs, name.replace(" ", "-"))
+        with scope() as keep:
+            docs = keep(materialise(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        discard(*before)
+        before = [docs]
     return docs
