@@ -34,6 +34,8 @@ from .common import session, shuffle_partitions
 from .textvec import chunks, mixed
 
 LENGTH, PER_SHARD, END_ID, ROUNDS = 1024, 4096, 2, 6
+#: Records that a task makes or reads at a time.
+BLOCK = 512
 HEADER = np.dtype([("sequence", "<u8"), ("used", "<u2")])
 
 
@@ -113,8 +115,8 @@ def _records(tokenizer, ranks, length, end_id, starts, counts, total, key, per_s
         partition = TaskContext.get().partitionId()
         at, end = int(starts.value[partition]), int(starts.value[partition] + counts.value[partition])
         for rows in _stream(batches, tokenizer, ranks, length, end_id):
-            for block in range(0, len(rows), 512):
-                part = rows[block:block + 512]
+            for block in range(0, len(rows), BLOCK):
+                part = rows[block:block + BLOCK]
                 n = len(part)
                 out = np.zeros((n, HEADER.itemsize + 2 * length), np.uint8)
                 header = np.zeros(n, HEADER)
@@ -190,15 +192,19 @@ def read_slots(spark: SparkSession, layout: Layout, first: int = 0, last: int |
                 if len(data) % layout.stride:
                     raise RuntimeError(f"shard {shard} isn't a whole number of records")
                 data = data.reshape(-1, layout.stride)
-                slot = shard * layout.per_shard + np.arange(len(data))
-                keep = (slot >= first) & (slot < last)
-                data, slot = data[keep], slot[keep]
-                header = np.ascontiguousarray(data[:, : HEADER.itemsize]).view(HEADER).ravel()
-                ids = np.ascontiguousarray(data[:, HEADER.itemsize:-1]).view("<u2").astype("<u4")
-                raw = [row[:n].tobytes() for row, n in zip(ids, header["used"].tolist())]
-                keyed = feistel(header["sequence"].astype(np.int64), layout.sequences, layout.key) == slot
-                values = [slot, np.full(len(slot), shard), slot % layout.per_shard, header["sequence"].astype(np.int64), header["used"].astype(np.int64), [zlib.crc32(r) for r in raw], keyed]
-                values += [raw] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, _, kind) in zip(values, fields)], schema.names)
+                for at in range(0, len(data), BLOCK):
+                    yield block(shard, at, data[at:at + BLOCK])
+
+    def block(shard: int, at: int, data: np.ndarray) -> pa.RecordBatch:
+        slot = shard * layout.per_shard + at + np.arange(len(data))
+        keep = (slot >= first) & (slot < last)
+        data, slot = data[keep], slot[keep]
+        header = np.ascontiguousarray(data[:, : HEADER.itemsize]).view(HEADER).ravel()
+        ids = np.ascontiguousarray(data[:, HEADER.itemsize:-1]).view("<u2").astype("<u4")
+        raw = [row[:n].tobytes() for row, n in zip(ids, header["used"].tolist())]
+        keyed = feistel(header["sequence"].astype(np.int64), layout.sequences, layout.key) == slot
+        values = [slot, np.full(len(slot), shard), slot % layout.per_shard, header["sequence"].astype(np.int64), header["used"].astype(np.int64), [zlib.crc32(r) for r in raw], keyed]
+        values += [raw] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, _, kind) in zip(values, fields)], schema.names)
 
     return files.select(F.col("shard").cast("long"), "content").mapInArrow(run, schema)

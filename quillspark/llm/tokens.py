@@ -231,5 +231,6 @@ def encoder(tokenizer_json: str, ranks_file: str | None = None) -> BatchEncoder:
     """One encoder for each worker process."""
     key = (tokenizer_json, ranks_file)
     if key not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time in a worker
         _ENCODERS[key] = BatchEncoder(*key)
     return _ENCODERS[key]
