@@ -49,7 +49,7 @@ LARGE = 120_000
 #: Contexts that one task sorts at a time.
 TOGETHER = 16_384
 #: Bytes whose windows are looked at together, whatever the length of a text.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 
 
