@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import discard, materialise, session
 from .components import connected_components
-from .exact_dedup import may_hold, value_filter
+from .exact_dedup import membership, value_filter
 
 COORDINATES = 128
 TREES = 12
@@ -280,10 +280,14 @@ def _confirm(share: tuple[int, int]):
     return run
 
 
-def _full_sets(words: int):
+def _full_sets(words: int, wanted, segments: int):
+    """Sets, with their keys, of the rows whose h the filter may hold."""
+
     def run(batches):
+        hold = membership(wanted.value, segments)
         for batch in batches:
-            for part in textvec.chunks(batch, "text"):
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for part in textvec.chunks(batch.filter(pa.array(hold(h))), "text"):
                 sets = shingle_sets(part.column("text"), words)
                 key = np.array([_set_key(s) for s in sets]).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "set"])
@@ -410,9 +414,9 @@ class _Join:
         spark = placed.sparkSession
         wanted = materialise(placed.select("id").join(self.vertices.select("id", "doc", "k1", "k2"), "id"), "wanted")
         packed, segments = value_filter(wanted.select(F.xxhash64("doc").alias("h")), wanted.count(), least=1)
-        needed = may_hold(spark.sparkContext.broadcast(packed), segments)
-        texts = self.texts.where(needed(F.xxhash64("id"))).select("text")
-        sets = materialise(texts.mapInArrow(_full_sets(self.words), "k1 long, k2 long, set binary"), "found-sets")
+        needed = spark.sparkContext.broadcast(packed)
+        texts = self.texts.where("id is not null").select(F.xxhash64("id").alias("h"), "text")
+        sets = materialise(texts.mapInArrow(_full_sets(self.words, needed, segments), "k1 long, k2 long, set binary"), "found-sets")
         out = materialise(sets.join(wanted.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "set").dropDuplicates(["id"]), "sets")
         discard(wanted, sets)
         return out

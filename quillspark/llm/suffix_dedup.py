@@ -417,7 +417,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", least: int = LEAST, l
     keyed = docs.drop("cut").withColumn(f"{tag}_1", k1).withColumn(f"{tag}_2", k2).withColumn(f"{tag}_some", maybe(f"{tag}_1"))
     spans = spans.withColumnsRenamed({"k1": f"{tag}_a", "k2": f"{tag}_b", "spans": f"{tag}_spans"})
     same = (F.col(f"{tag}_1") == F.col(f"{tag}_a")) & (F.col(f"{tag}_2") == F.col(f"{tag}_b"))
-    some = keyed.where(f"{tag}_some").join(spans, same, "left")
+    # never a broadcast: the filter and the cutting would be two Python workers for each task
+    some = keyed.where(f"{tag}_some").join(spans.hint("merge"), same, "left")
     some = some.withColumn("cut", _cutter(kept_text)(F.col(text), F.col(f"{tag}_spans")))
     own = F.coalesce(F.col(text), F.lit(""))
     whole = [F.octet_length(own).cast("long").alias("n_bytes"), *(F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans"))]
