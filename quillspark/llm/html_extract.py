@@ -6,7 +6,7 @@ contiguous region with the greatest sum, which is the article. Words of a contai
 that don't outweigh its own tags (an advert between two paragraphs) score
 negative instead, and give no text if the region goes across them.
 
-A tag's feature is its name with its first class, if it has one. Weights are
+A tag's weight hangs on its classes, or on its name if it has none. Weights are
 learned from labelled pages (those that mark their content with exactly one
 <article> or <main>): they start as log-odds of a tag standing outside the
 marked content, and a structured perceptron mends them: while the best region of a
@@ -50,10 +50,14 @@ NEUTRAL = frozenset("article body html main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S
 )
-_CLASS = re.compile(r"(?:^|\s)class\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Weights before any page is seen, and the least one of tags of running text.
 INLINE_TAG, BLOCK_TAG, AROUND_TAG, TEXT_TAG = -0.02, -0.2, -20.0, -1.5
+#: The weight from which a container's class (or meaning) alone makes it a low one.
+DECIDED = -10.0
+#: What a word of a low container scores.
+LOW_WORD = -0.25
 NOTHING = -0.001
 
 
@@ -92,7 +96,8 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         if tag == "p" and blocks and stack[blocks[-1]][0] == "p":  # a new paragraph ends an open one
             close(blocks[-1])
         named = _CLASS.search(m[3]) if "=" in m[3] else None
-        feature, bad = f"{tag}.{named[1].lower()}" if named else tag, tag in SILENT
+        classes = (named[1] or named[2] or named[3] or "").lower().replace(".", " ").split() if named else []
+        feature, bad = ".".join([tag, *classes]), tag in SILENT
         out.append(("<" + feature, tag, silent > 0 or bad))
         if tag in VOID or m[0].endswith("/>"):
             continue
@@ -108,55 +113,65 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def weight(feature: str, tag: str, weights: dict[str, float]) -> float:
+def parts(kind: str) -> list[str]:
+    """What a tag's weight hangs on: its classes, whatever the tag, or else its name."""
+    head, *classes = kind.split(".")
+    mark = "</" if kind[1] == "/" else "<"
+    return [f"{mark}.{c}" for c in classes] or [head]
+
+
+def weight(kind: str, tag: str, weights: dict[str, float]) -> float:
     if tag in NEUTRAL:
         return NOTHING
-    got = weights.get(feature)
-    if got is None and "." in feature:  # a class not met in the fit: as the bare tag
-        got = weights.get(feature.split(".")[0])
-    if got is None:
-        got = AROUND_TAG if tag in AROUND else BLOCK_TAG if tag in BLOCKS else INLINE_TAG
+    known = [weights[x] for x in parts(kind) if x in weights]
+    if not known and kind.split(".")[0] in weights:  # classes not met in the fit
+        known = [weights[kind.split(".")[0]]]
+    got = min(known) if known else AROUND_TAG if tag in AROUND else BLOCK_TAG if tag in BLOCKS else INLINE_TAG
     return min(got if tag in CONTAINERS else max(got, TEXT_TAG), NOTHING)
 
 
+def containers(page_tokens: list) -> list[tuple[int, int | None, list[int]]]:
+    """(opening tag, closing tag or None, own words) of each element that holds others;
+    own are words in no container inside it."""
+    out, open_ = [], []
+
+    for i, (kind, value, silent) in enumerate(page_tokens):
+        if kind == "w":
+            if open_ and not silent and value.strip():
+                open_[-1][1].append(i)
+        elif silent or value not in CONTAINERS and value not in NEUTRAL:
+            continue
+        elif kind[1] != "/":
+            open_.append((i, []))
+        else:
+            while page_tokens[open_[-1][0]][0][1:] != kind[2:]:  # never closed itself
+                out.append((open_[-1][0], None, open_.pop()[1]))
+            out.append((open_[-1][0], i, open_.pop()[1]))
+    return out + [(a, None, own) for a, own in open_]
+
+
 def token_scores(page_tokens: list, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Scores, and which words stand in a low container.
 
-    Words score positive, tags negative. A container whose own words (those in no
-    container inside it) don't outweigh its own tags is *low*: its words score
-    negative, so that a region only goes across it for more words than it has.
+    Words score positive, tags negative. A container is *low* if its own words don't
+    outweigh its own tags, or if its class or meaning says so (``DECIDED``): then
+    its words score negative (``LOW_WORD`` each), so that a region only goes across
+    it for something.
     """
-    scores, low, open_ = np.zeros(len(page_tokens)), np.zeros(len(page_tokens), bool), []
-
-    def close(end: int | None) -> None:
-        feature, tags, own, places = open_.pop()
-        if own and own + tags < 0:
-            low[places[1:]] = True
-            scores[places] *= -1
-            scores[places[0]] = NOTHING
-            if end is not None:
-                scores[end] = NOTHING
-
+    scores, low = np.zeros(len(page_tokens)), np.zeros(len(page_tokens), bool)
     for i, (kind, value, silent) in enumerate(page_tokens):
-        if kind == "w":
-            n = 0 if silent else len(value.split())  # silent ones give no text, so a region may as well go across them
-            scores[i] = n
-            if n and open_:
-                open_[-1][2] += n
-                open_[-1][3].append(i)
-            continue
-        scores[i] = NOTHING if silent else weight(kind, value, weights)
-        if silent or value not in CONTAINERS and value not in NEUTRAL:
-            continue
-        if kind[1] != "/":
-            open_.append([kind[1:], scores[i], 0, [i]])
-        elif any(frame[0] == kind[2:] for frame in reversed(open_)):
-            while open_[-1][0] != kind[2:]:
-                close(None)  # never closed itself
-            open_[-1][1] += scores[i]
-            close(i)
-    while open_:
-        close(None)
+        if kind != "w":
+            scores[i] = NOTHING if silent else weight(kind, value, weights)
+        elif not silent:  # silent ones give no text, so a region may as well go across them
+            scores[i] = len(value.split())
+    for a, b, own in containers(page_tokens):
+        kind, tag, _ = page_tokens[a]
+        tags = [a] if b is None else [a, b]
+        decided = ("." in kind or tag in AROUND) and scores[a] <= DECIDED
+        if own and (decided or scores[own].sum() + scores[tags].sum() < 0):
+            low[own] = True
+            scores[own] *= LOW_WORD
+            scores[tags] = NOTHING
     return scores, low
 
 
@@ -205,16 +220,22 @@ def _marked_region(page_tokens: list) -> tuple[tuple[int, int], tuple[int, int]]
 def fit(pages: list[str]) -> dict[str, float]:
     """Tag weights under which the best region of each labelled page is the marked one."""
     weights: dict[str, float] = {}
-    labelled, inside, outside, tag_of = [], Counter(), Counter(), {}
+    labelled, inside, outside, tag_of = [], Counter(), Counter(), {}  # of parts
     for page in pages:
         t = tokens(page)
         gold = _marked_region(t)
         if gold:
             labelled.append((t, gold[0]))
+            frames = containers(t)
+            mute = {x for a, b, own in frames if not own for x in (a, b)}  # a frame around others says nothing
+            # and what is inside a menu or the like is explained by that
+            around = [(a, b or a) for a, b, _ in frames if t[a][1] in AROUND or "." in t[a][0]]
+            mute |= {i for a, b in around for i in range(a + 1, b) if t[i][1] not in CONTAINERS}
             for i, (kind, tag, silent) in enumerate(t):
-                if kind != "w" and not silent:
-                    (inside if gold[1][0] <= i < gold[1][1] else outside)[kind] += 1
-                    tag_of[kind] = tag
+                if kind != "w" and not silent and i not in mute:
+                    for x in parts(kind):
+                        (inside if gold[1][0] <= i < gold[1][1] else outside)[x] += 1
+                        tag_of[x] = tag
     for feature in inside | outside:  # log-odds of standing outside, and at least a little
         odds = 4 * np.log((outside[feature] + 0.5) / (inside[feature] + 0.5))
         weights[feature] = min(weight(feature, tag_of[feature], {}), -float(odds)) if odds > 0 else INLINE_TAG
@@ -229,7 +250,8 @@ def fit(pages: list[str]) -> dict[str, float]:
             for (a, b), (other_a, other_b), change in ((found, gold, -step), (gold, found, step)):
                 for i in range(a, b):
                     if not other_a <= i < other_b and t[i][0] != "w" and not t[i][2]:
-                        weights[t[i][0]] = min(NOTHING, weight(*t[i][:2], weights) + change)
+                        for x in parts(t[i][0]):
+                            weights[x] = min(NOTHING, weights.get(x, weight(*t[i][:2], weights)) + change)
         if not wrong:
             break
     return weights

@@ -248,6 +248,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. One blank is put before a text that isn't empty."""
+        if not texts:
+            return []
         v = self.v
         given = [" " + t if t else "" for t in texts]
         code = np.frombuffer("".join(t + "\0" for t in given).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -302,7 +304,7 @@ class PieceEncoder:
         if own:
             places = np.concatenate([np.arange(total[i], total[i + 1]) for i in by_bytes.tolist()])
             flat[places] = self.v.byte_ids[np.frombuffer(b"".join(own), np.uint8)]
-        return np.split(flat, total[ends[:-1]]) if len(ends) else []
+        return np.split(flat, total[ends[:-1]])
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")

@@ -75,3 +75,20 @@ def test_packing(stages):
     for r in after:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 1024 and len(used) <= -(-sum(used.values()) // 1024) * 1.02 + 1
+
+
+def test_odd_rows(spark, odd_docs, empty_docs):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, through every stage."""
+    columns = ("doc_id", "text", "lang")
+    odd = odd_docs.selectExpr(*columns, "cast(null as string) as source", "0 as n_chars", "kept", "n as cut", "1.5 as score")
+    for docs in (odd, odd.where("false")):
+        n = docs.count()
+        for name, stage in pipeline.STAGES[1:]:  # the rows of the first stage go on as they are
+            docs = pipeline.materialise(stage(spark, docs, SF), "odd")
+            if name == "exact dedup":
+                # texts that differ by more than case: 9 of 12 rows, and the copy of a row that stays
+                assert n == 0 or docs.count() == 9
+        assert (docs.count() > 0) == (n > 0)
+    scored = pipeline.quality(spark, odd, SF)
+    assert scored.columns == pipeline.COLUMNS and scored.count() <= odd.count()
+    assert pipeline.quality(spark, odd.where("false"), SF).count() == 0

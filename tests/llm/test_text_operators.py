@@ -87,11 +87,41 @@ def test_exact_bounds():
 
 
 def test_cutoffs_need_evidence():
+    rules = {"short": [("capitals", 0.3), ("marks_per_word", 0.1)]}
+    assert quality_rules.proven(rules, {}) == {} == quality_rules.proven(rules, {"short": (200, [0, 0])})
+    assert quality_rules.proven(rules, {"short": (300, [0, 0])}) == {("short", s): c for s, c in rules["short"]}
+    # the second rule's losses come on top of the first one's
+    assert quality_rules.proven(rules, {"short": (2000, [20, 12])}) == {("short", "capitals"): 0.3}
+    assert quality_rules.proven(rules, {"short": (2000, [32, 0])}) == {}
+
+
+def test_proposals_spare_good_documents():
     names = [(s, c) for s in quality_rules.SIGNALS for c in quality_rules.CANDIDATES]
-    few = {"short": (100, dict.fromkeys(names, 0))}
-    many = {"short": (20_000, {(s, c): (0 if c >= 0.3 else 5000) for s, c in names})}
-    assert quality_rules.cutoffs(few) == {}
-    assert quality_rules.cutoffs(many) == {("short", s): 0.3 for s in quality_rules.SIGNALS}
+    counts = {(s, c): (0 if c >= 0.3 else 50, {"capitals": 40, "marks_per_word": 90}.get(s, 0)) for s, c in names}
+    assert quality_rules.proposed({"long": (1000, 200, counts)}) == {"long": [("marks_per_word", 0.3), ("capitals", 0.3)]}
+
+
+def test_rules_keep_their_promise(spark):
+    """Labels choose cutoffs that reject; on documents whose labels weren't shown no
+    stratum loses more good ones than promised."""
+    rng = random.Random(31)
+    rows, good = [], {}
+    for i in range(3000):
+        n = rng.choice([40, 80, 200])
+        w = [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+        good[i] = int(rng.random() < 0.75)
+        for k in rng.sample(range(n), int(n * (rng.choice([0, 0, 0, 0.01]) if good[i] else rng.choice([0.3, 0.5])))):
+            w[k] += "#"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, g) for i, g in good.items() if i % 2], "doc_id long, quality int")
+    out = quality_rules.judge(docs, labels).where("doc_id % 2 = 0").withColumn("s", quality_rules.stratum()).collect()
+    for s in ("short", "middle"):
+        mine = [r for r in out if r.s == s]
+        lost = [r.kept for r in mine if good[r.doc_id]].count(False)
+        assert lost <= quality_rules.RISK * sum(good[r.doc_id] for r in mine)
+        bad = [r.rejected_by for r in mine if not good[r.doc_id]]
+        assert bad.count("symbols_per_word") > 0.9 * len(bad)
 
 
 def prose(rng, n):
@@ -129,11 +159,46 @@ def page(body, before="", after=""):
     return f"<!DOCTYPE html><html><head><title>T t</title><script>var x='</p>';</script></head><body><nav><ul><li><a href='/a'>Home page</a></li></ul></nav>{before}<article>{body}</article>{after}<footer>&copy; foot note</footer></body></html>"
 
 
+def test_best_region():
+    rng = random.Random(3)
+    for _ in range(300):
+        x = [rng.choice([-3, -1, -0.5, 0, 1, 2, 5]) for _ in range(rng.randint(0, 25))]
+        start, end = html_extract.best_region(np.array(x, float))
+        most = max((sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0)
+        assert (start, end) == (0, 0) if most <= 0 else sum(x[start:end]) == most
+        shorter = [(i, j) for i in range(start, end) for j in range(i + 1, end + 1) if sum(x[i:j]) == most]
+        assert most <= 0 or shorter == [(start, end)]
+
+
+def test_region_is_found_by_scores():
+    """No element here has a class or a meaning: only the scan tells the article from links around it."""
+    links = "".join(f"<p><a href='/{i}'>go there</a></p>" for i in range(30))
+    body = "".join(f"<p>{prose(random.Random(i), 40)}</p>" for i in range(5))
+    page = html_extract.tokens(f"<body>{links}<div>{body}</div>{links}</body>")
+    scores, low = html_extract.token_scores(page, {"<a": -2.0, "</a": -2.0})
+    assert not low.any() and html_extract.region_text(page, low, 0, len(page)).count("go there") == 60
+    text = html_extract.region_text(page, low, *html_extract.best_region(scores))
+    assert "go there" not in text and text.count("\n\n") == 4
+
+
+def test_tags_in_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_extract.tokens("<b>" * n + "</i>" * n + "<p>" * n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(64_000) < 40 * seconds(8_000)
+
+
 def test_extraction(spark):
     rng = random.Random(10)
     bodies = [[prose(rng, rng.randint(3, 60)) for _ in range(rng.randint(1, 6))] for _ in range(60)]
     ad = '<div class="ad">Buy this thing now please do it right now</div>'
-    pages = [page("".join(f"<p>{html.escape(p)}</p>" for p in b), before=ad) for b in bodies]
+    said = lambda n: f'<div class="box comments"><p>{"word " * n}</p></div>'
+    pages = [page("".join(f"<p>{html.escape(p)}</p>" for p in b), before=ad, after=said(i % 90)) for i, b in enumerate(bodies)]
     weights = html_extract.fit(pages[:40])
     for b, p in zip(bodies, pages):
         assert html_extract.extract(p, weights) == "\n\n".join(b)
@@ -149,6 +214,7 @@ def test_extraction(spark):
     out = html_extract.extract_main_text(df, weights)
     assert sorted(r.text for r in out.collect()) == sorted(["", *["\n\n".join(bodies[0])] * 2])
     assert html_extract.extract_main_text(df.limit(0), weights).count() == 0
+    assert html_extract.fit_on(df.limit(0)) == {} and html_extract.fit_on(df.withColumn("page_id", F.lit(7))) != {}
 
 
 @pytest.fixture(scope="module")
@@ -156,49 +222,100 @@ def pieces(vocab):
     return PieceEncoder(vocab[PIECES])
 
 
-def brute_viterbi(v, t):
-    n, best = len(t), [(0.0, None)] + [None] * len(t)
+def brute_viterbi(v, pieces, t):
+    """Best segmentation of a text with its blanks, by all ends and starts; of equals the longer last piece."""
+    n, best = len(t), [(0, None)] + [None] * len(t)
     for j in range(1, n + 1):
         for i in range(max(0, j - v.longest), j):
-            children, node = v.trie, None
-            for c in t[i:j]:
-                node = children.get(c)
-                if node is None:
-                    break
-                children = node[0]
-            found = (node[1], node[2]) if node is not None and node[1] is not None else (v.unknown * len(t[i:j].encode()), -1) if j == i + 1 else None
+            found = pieces.get(t[i:j].replace(" ", BLANK)) if BLANK not in t[i:j] else None
+            if found is None and j == i + 1:
+                found = (v.unknown, None)
             if found and (best[j] is None or best[i][0] + found[0] > best[j][0]):
                 best[j] = (best[i][0] + found[0], (i, found[1]))
     out = []
     while n:
         i, p = best[n][1]
-        out.append([p] if p >= 0 else [v.byte_ids[b] for b in t[i:n].encode()])
+        out.append([p] if p is not None else [int(v.byte_ids[b]) for b in t[i:n].encode()])
         n = i
     return [x for ids in reversed(out) for x in ids]
 
 
-def test_viterbi(pieces):
-    rng = random.Random(12)
+def known_pieces(model_file, v):
+    """Each piece with its score and id, read from the trie letter by letter."""
+    import sentencepiece
+
+    sp, out = sentencepiece.SentencePieceProcessor(model_file=model_file), {}
+    for i in range(sp.get_piece_size()):
+        piece, node = sp.id_to_piece(i), 0
+        if not v.bytes_of[i] or sp.is_byte(i):
+            continue
+        for k, c in enumerate(piece):
+            letter = v.blank if c == BLANK else int(v.letter[ord(c)])
+            node = int(v.first[letter]) if k == 0 else int(v.child(np.array([node]), np.array([letter]))[0])
+        assert v.piece_at[node] == i
+        out[piece] = (int(v.score_at[node]), i)
+    return out
+
+
+def test_viterbi(pieces, vocab, monkeypatch):
+    from quillspark.llm import viterbi
+
+    rng, known = random.Random(12), known_pieces(vocab[PIECES], pieces.v)
     letters = [*"abcde thein  \n\n中é😀.,1", BLANK, "tion", "  ing", "\0"]
-    for _ in range(400):
-        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 90)))
-        ids = pieces.encode(t)
-        assert pieces.decode(ids) == t
-        if BLANK not in t:
-            whole = BLANK + t.replace(" ", BLANK)
-            want = brute_viterbi(pieces.v, whole)
-            s, got, at = StreamingViterbi(pieces.v), [], 0
-            while at < len(whole):
-                n = rng.randint(1, 40)
-                got += s.feed(whole[at:at + n])
-                at += n
-            assert np.frombuffer(ids, "<u4").tolist() == got + s.finish() == want
-
-
-def test_viterbi_window_stays_small(pieces):
-    s = StreamingViterbi(pieces.v)
-    out = s.feed("abcthequick" * 5000)
-    assert s.widest < 20 * pieces.v.longest and len(out) > 5000
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(300)]
+    want = [brute_viterbi(pieces.v, known, " " + t) if t else [] for t in texts]
+    for block, lanes, least in ((128, 1024, 512), (1, 7, 20), (5, 64, 1), (17, 3, 100)):  # however the texts are cut
+        monkeypatch.setattr(viterbi, "BLOCK", block)
+        monkeypatch.setattr(viterbi, "LANES", lanes)
+        monkeypatch.setattr(viterbi, "LANE_LETTERS", least)
+        got = pieces.encode(texts)
+        assert [x.tolist() for x in got] == want and [pieces.decode(x) for x in got] == texts
+    assert pieces.encode([]) == [] and [len(x) for x in pieces.encode(["", ""])] == [0, 0]
+
+
+def test_viterbi_commits_as_it_goes(pieces):
+    """Ordinary documents are committed block by block, from a window that stays small."""
+    from quillspark.llm import viterbi
+
+    texts = [prose(random.Random(i), 400) for i in range(40)]
+    before, pieces.widest = pieces.commits, 0
+    ids = pieces.encode(texts)
+    assert pieces.commits - before > sum(map(len, texts)) / viterbi.BLOCK / 2
+    assert pieces.widest <= viterbi.BLOCK + 4 * pieces.v.longest
+    stream = StreamingViterbi(pieces.v, 1)
+    letters = pieces.v.letter[[ord(c) for c in "abcthequick" * 3000]][:, None]
+    found = [stream.feed(letters[i:i + 64])[2] for i in range(0, len(letters), 64)]
+    assert sum(len(x) > 0 for x in found) > 0.9 * len(found) and stream.widest <= 64 + 4 * pieces.v.longest
+    assert sum(map(len, ids)) > 4000
+
+
+def test_viterbi_is_the_librarys_on_unigram_models(tmp_path):
+    """A unigram model written by hand (pieces, scores, byte pieces): the library's own ids."""
+    import struct
+
+    import sentencepiece
+
+    def field(number, kind, body):
+        out, tag = b"", number << 3 | kind
+        out += bytes([tag]) if tag < 128 else bytes([tag & 127 | 128, tag >> 7])
+        if kind == 2:
+            n = len(body)
+            return out + (bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])) + body
+        return out + body
+
+    rng = random.Random(5)
+    words = ["▁", *"abcdeghint.,", *{"".join(rng.choice("abcdeghint") for _ in range(rng.randint(2, 6))) for _ in range(150)}]
+    words += ["▁" + w for w in words[1:80]]
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    rows += [(w, -rng.uniform(2, 12), 1) for w in words]
+    model = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in rows)
+    model += field(2, 2, field(3, 0, b"\x01") + field(35, 0, b"\x01"))  # unigram, byte fallback
+    model += field(3, 2, field(1, 2, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
+    path = tmp_path / "own.model"
+    path.write_bytes(model)
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(rng.choice("abcdeghint  .,zé") for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    assert [x.tolist() for x in PieceEncoder(str(path)).encode(texts)] == sp.encode(texts)
 
 
 def test_encode_table(spark, vocab, odd_docs, empty_docs):
