@@ -86,8 +86,8 @@ def test_odd_rows(spark, odd_docs, empty_docs):
         for name, stage in pipeline.STAGES[1:]:  # the rows of the first stage go on as they are
             docs = pipeline.materialise(stage(spark, docs, SF), "odd")
             if name == "exact dedup":
-                # texts that differ by more than case: 9 of 12 rows, and the copy of a row that stays
-                assert n == 0 or docs.count() == 9
+                # both rows of id 2 stand for the prose, id 4 for the empty texts, and five texts come once
+                assert n == 0 or sorted(r.doc_id for r in docs.collect()) == [2, 2, 4, 5, 6, 7, 8, 9]
         assert (docs.count() > 0) == (n > 0)
     scored = pipeline.quality(spark, odd, SF)
     assert scored.columns == pipeline.COLUMNS and scored.count() <= odd.count()
