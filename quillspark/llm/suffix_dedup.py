@@ -23,9 +23,12 @@ In periodic text every window repeats where the period ends; such a window is
 compared with its predecessor in place and chooses no anchor, so long runs
 have no more anchors than other text.
 
-An anchor hash with more than ``LARGE`` distinct contexts isn't brought together:
-its windows are counted one by one by two 64-bit hashes, with partial aggregates.
-Texts are identified by two such hashes too: equal texts have equal intervals.
+A group of more than ``LARGE`` distinct contexts is split by prefixes before it is
+sorted: the windows with a to b bytes left of the anchor all share a bytes on that
+side and span - 1 - b on the other, so halving the range makes longer keys, of
+smaller groups, and cuts off the bytes that no window of the range has, which makes
+more contexts equal. At one window the key is all there is left.
+Texts are identified by two 64-bit hashes: equal texts have equal intervals.
 """
 
 from __future__ import annotations
@@ -44,10 +47,10 @@ from .exact_dedup import may_hold, membership, value_filter
 from .suffix_sort import adjacent_lcp, suffix_order
 
 LEAST = 200
-#: Distinct contexts of one anchor hash that one task sorts together.
-LARGE = 120_000
 #: Contexts that one task sorts at a time.
 TOGETHER = 16_384
+#: Distinct contexts of one group; a larger one is split.
+LARGE = TOGETHER // 4
 #: Bytes whose windows are looked at together, whatever the length of a text.
 PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
@@ -261,12 +264,12 @@ def repeated_reach(h: np.ndarray, times: np.ndarray, contexts: list[bytes], left
     return most, fewest
 
 
-_REACH = "k1 long, k2 long, pos long, c1 long, c2 long, n long, lo long, hi long"
+_OWN = ["k1", "k2", "pos", "c1", "c2", "n"]
 
 
-def _sorted_reach(least: int):
-    """Streams distinct contexts ordered by h; emits of each that has a repeated
-    window what these cover, relative to the anchor."""
+def _sorted_reach(distinct: DataFrame, least: int, own: list[str]) -> DataFrame:
+    """Distinct contexts, ordered by h within partitions, to what the repeated windows
+    of each that has any cover, relative to the anchor, beside the columns ``own``."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -276,10 +279,9 @@ def _sorted_reach(least: int):
             most, fewest = repeated_reach(h, n, table.column("context").to_pylist(), left.astype(np.int64), least)
             some = pa.array(np.flatnonzero(most >= 0))
             most, fewest = most[some], fewest[some]
-            own = table.select(["k1", "k2", "pos", "c1", "c2", "n"]).take(some).combine_chunks()
-            columns = [own.column(c).combine_chunks() for c in own.column_names]
-            names = [*own.column_names, "lo", "hi"]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(-most), pa.array(least - fewest)], names)
+            kept = table.select(own).take(some).combine_chunks()
+            columns = [kept.column(c).combine_chunks() for c in own]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(-most), pa.array(least - fewest)], [*own, "lo", "hi"])
 
         rows = 0
         for batch in batches:
@@ -296,39 +298,43 @@ def _sorted_reach(least: int):
         if rows:
             yield work(pa.Table.from_batches(held))
 
-    return run
-
+    kinds = T.StructType([distinct.schema[c] for c in own]).add("lo", "long").add("hi", "long")
+    return distinct.mapInArrow(run, kinds)
 
-def _each_window(least: int):
-    """Rows of contexts to one row for each of their windows: digest and start relative to the anchor."""
-
-    def run(batches):
-        for batch in batches:
-            for part in textvec.chunks(batch, "context", 1 << 16):
-                owner, at, w1, w2 = [], [], [], []
-                for i, (h, x, c) in enumerate(zip(*(part.column(name).to_pylist() for name in ("h", "left", "context")))):
-                    for start in range(len(c) - least + 1):
-                        d = hashlib.blake2b(c[start:start + least], digest_size=16, key=(h & 2**64 - 1).to_bytes(8, "little")).digest()
-                        owner.append(i)
-                        at.append(start - x)
-                        w1.append(int.from_bytes(d[:8], "little", signed=True))
-                        w2.append(int.from_bytes(d[8:], "little", signed=True))
-                columns = [part.column(c).take(pa.array(owner, pa.int64())) for c in ("k1", "k2", "pos", "c1", "c2", "n")]
-                columns += [pa.array(x, pa.int64()) for x in (at, w1, w2)]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "pos", "c1", "c2", "n", "at", "w1", "w2"])
 
-    return run
+def _large(groups: DataFrame, large: int) -> DataFrame:
+    """The hashes of groups with more than ``large`` distinct rows."""
+    kinds = groups.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    return materialise(kinds.where(F.col("kinds") > large).select("h"), "large-groups")
 
 
-def _counted_reach(distinct: DataFrame, least: int) -> DataFrame:
-    """What ``_sorted_reach`` gives, without bringing a hash's contexts together."""
-    each = distinct.mapInArrow(_each_window(least), "k1 long, k2 long, pos long, c1 long, c2 long, n long, at long, w1 long, w2 long")
-    each = materialise(each, "windows")
-    key = ["w1", "w2", "at"]
-    again = each.groupBy(*key).agg(F.sum("n").alias("__n")).where("__n > 1").select(*key)
-    own = ["k1", "k2", "pos", "c1", "c2", "n"]
-    mine = each.join(materialise(again, "repeated-windows"), key).groupBy(*own)
-    return mine.agg(F.min("at").alias("lo"), (F.max("at") + least).alias("hi")).select(*own, "lo", "hi")
+def _split_reach(contexts: DataFrame, many: DataFrame, least: int, large: int) -> DataFrame:
+    """What ``_sorted_reach`` gives for the contexts of the groups ``many``, by way of
+    groups of ranges of their windows. A range that is larger yet is halved again."""
+    k, span = gram(least)
+    left, a, b, mid = (F.col(c) for c in ("left", "a", "b", "mid"))
+    right = F.octet_length("context") - left - k
+    open_ = contexts.withColumns({"a": F.lit(0), "b": F.lit(span - 1)})
+    ready, written = None, []
+    while not many.isEmpty():
+        mid_ = F.floor((a + b) / 2).cast("int")
+        halves = open_.join(many, "h").withColumn("mid", mid_)
+        halves = halves.withColumn("part", F.explode(F.array(F.struct(a.alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), b.alias("b")))))
+        halves = halves.select(*_OWN, "h", "left", "context", "part.a", "part.b").where((left >= a) & (right >= span - 1 - b))
+        key = F.xxhash64("h", "a", "b", F.substring("context", left - a + 1, a + k + span - 1 - b))
+        before, after = F.least(left, b), F.least(right, span - 1 - a)
+        seen = F.substring("context", left - before + 1, before + k + after)
+        open_ = materialise(halves.select(*_OWN, key.alias("h"), before.alias("left"), seen.alias("context"), "a", "b"), "split")
+        many = _large(open_.where("a < b").select("h", "left", "context"), large)
+        written += [open_, many]
+        done = open_.join(many, "h", "left_anti")
+        ready = done if ready is None else ready.unionByName(done)
+    same = ["h", "left", "context"]
+    distinct = ready.groupBy(*same).agg(F.sum("n").alias("n")).repartition("h").sortWithinPartitions("h")
+    reach = materialise(_sorted_reach(distinct, least, same), "split-reach")
+    out = materialise(ready.join(reach, same).select(*_OWN, "lo", "hi"), "large-reach")
+    discard(*written, reach)
+    return out
 
 
 def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE) -> DataFrame:
@@ -344,22 +350,24 @@ def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE)
     found = materialise(texts.mapInArrow(_context_rows(least, twice, segments), _ROWS), "contexts")
     runs = found.where(F.col("n") == RUN).select("k1", "k2", F.col("pos").alias("lo"), F.col("h").alias("hi"))
     contexts = found.where("n > 0")
-    many = contexts.select("h", "c1", "c2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > large)
-    many = materialise(many.select("h"), "large-groups")
+    many = _large(contexts.select("h", "c1", "c2"), large)
     none_large = many.isEmpty()
     distinct = contexts if none_large else contexts.join(many, "h", "left_anti")
     # one shuffle by h serves the counting and the sorting
-    reach = _distinct(distinct.repartition("h")).sortWithinPartitions("h").mapInArrow(_sorted_reach(least), _REACH)
+    distinct = _distinct(distinct.repartition("h")).sortWithinPartitions("h")
+    reach = materialise(_sorted_reach(distinct, least, _OWN), "reach")
+    tables = [found, many, reach]
     if not none_large:
-        reach = reach.unionByName(_counted_reach(_distinct(contexts.join(many, "h")), least))
-    reach = materialise(reach, "reach")
+        whole = materialise(_distinct(contexts.join(many, "h")), "large-contexts")
+        tables += [whole, _split_reach(whole, many, least, large)]
+        reach = reach.unionByName(tables[-1])
     place = [(F.col("pos") + F.col(c)).alias(c) for c in ("lo", "hi")]
     once = reach.where("n = 1").select("k1", "k2", *place)
     members = found.where(F.col("n") == MEMBER).select("k1", "k2", "pos", "c1", "c2")
     often = members.join(reach.where("n > 1").select("c1", "c2", "lo", "hi"), ["c1", "c2"]).select("k1", "k2", *place)
     spans = once.unionByName(often).unionByName(runs).distinct()
     out = materialise(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    discard(found, many, reach)
+    discard(*tables)
     return out
 
 
