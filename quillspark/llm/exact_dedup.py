@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, session, shuffle_partitions
-from .textvec import chunks, string_bytes
+from .textvec import chunks, releasing, string_bytes
 
 #: 32 MiB: the most that pass 2 broadcasts.
 MAX_FILTER_BITS = 1 << 28
@@ -133,10 +133,10 @@ def value_filter(hashes: DataFrame, rows: int, least: int = 2, read=_longs) -> t
     filter_bits = min(MAX_FILTER_BITS, max(1 << 13, _power_of_two(8 * rows)))
     segments = min(_power_of_two(rows / SEGMENT_HASHES * 4), filter_bits >> 9)
     segments = max(16, segments)
-    local = hashes.mapInArrow(_local_pass(segments, least, read), "segment long, hashes binary, twice binary")
+    local = hashes.mapInArrow(releasing(_local_pass(segments, least, read)), "segment long, hashes binary, twice binary")
     dealt = local.repartition(min(segments, shuffle_partitions(spark)), "segment").sortWithinPartitions("segment")
     seen_bits = min(max(_power_of_two(16 * rows / segments), SEGMENT_BITS[0]), SEGMENT_BITS[1])
-    merged = dealt.mapInArrow(_merge_pass(segments, filter_bits, seen_bits), "segment long, bits binary")
+    merged = dealt.mapInArrow(releasing(_merge_pass(segments, filter_bits, seen_bits)), "segment long, bits binary")
     packed = np.zeros(filter_bits // 8, np.uint8)
     width = filter_bits // segments // 8
     for row in merged.collect():  # filter_bits / 8 bytes in all, by construction

@@ -347,7 +347,7 @@ class _Join:
             block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
             blocks = nodes.groupBy("path", block.alias("block")).agg(member.alias("members"))
             lists = blocks.join(outside, "path").select("members", "others")
-        return lists.mapInArrow(_forest(self.similarity), "a long, b long")
+        return lists.mapInArrow(textvec.releasing(_forest(self.similarity)), "a long, b long")
 
     def level(self, nodes: DataFrame) -> DataFrame | None:
         """Takes edges from one level of the trees; returns the nodes below it."""
@@ -362,7 +362,7 @@ class _Join:
         left = v.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = v.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         star = star.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-        self.add(edges.unionByName(star.mapInArrow(_by_sketch(self.similarity), "a long, b long")))
+        self.add(edges.unionByName(star.mapInArrow(textvec.releasing(_by_sketch(self.similarity)), "a long, b long")))
 
         large = nodes.where(F.col("size") > SMALL).select("path", "id", "size")
         if large.isEmpty():
@@ -377,13 +377,13 @@ class _Join:
         ends = F.col("outside") <= OUTSIDE
         self.add(self.compared(open_.where(ends), False))
         below = open_.where(~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
-        below = materialise(below.mapInArrow(_branch, "path long, id long"), "branches")
+        below = materialise(below.mapInArrow(textvec.releasing(_branch), "path long, id long"), "branches")
         discard(shared, nodes, large, parts, open_)
         return below
 
     def run(self) -> DataFrame:
         """(id, component) of all vertices that have an exact link."""
-        nodes = self.level(self.vertices.select("id", "tokens").mapInArrow(_roots, "path long, id long"))
+        nodes = self.level(self.vertices.select("id", "tokens").mapInArrow(textvec.releasing(_roots), "path long, id long"))
         while nodes is not None and not nodes.isEmpty():
             nodes = self.level(nodes)
         clusters = self.cluster.withColumnRenamed("component", "cluster")
@@ -404,7 +404,7 @@ class _Join:
             rows = rows.unionByName(self.blocks(several, confirmed))
         rows = rows.join(sets, "id").select("cluster", "i", "j", "id", "known", "query", "set")
         rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        links = rows.mapInArrow(_decide(self.share), "a long, b long")
+        links = rows.mapInArrow(textvec.releasing(_decide(self.share)), "a long, b long")
         links = materialise(links if confirmed is None else links.unionByName(confirmed), "links")
         discard(sets, placed, sizes, *self.edges)
         return connected_components(links)
@@ -416,7 +416,7 @@ class _Join:
         packed, segments = value_filter(wanted.select(F.xxhash64("doc").alias("h")), wanted.count(), least=1)
         needed = spark.sparkContext.broadcast(packed)
         texts = self.texts.where("id is not null").select(F.xxhash64("id").alias("h"), "text")
-        sets = materialise(texts.mapInArrow(_full_sets(self.words, needed, segments), "k1 long, k2 long, set binary"), "found-sets")
+        sets = materialise(texts.mapInArrow(textvec.releasing(_full_sets(self.words, needed, segments)), "k1 long, k2 long, set binary"), "found-sets")
         out = materialise(sets.join(wanted.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "set").dropDuplicates(["id"]), "sets")
         discard(wanted, sets)
         return out
@@ -431,7 +431,7 @@ class _Join:
         edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "to-confirm")
         for end in ("a", "b"):
             edges = edges.join(sets.withColumnsRenamed({"id": end, "set": f"s{end}"}), end)
-        return materialise(edges.select("a", "b", "sa", "sb").mapInArrow(_confirm(self.share), "a long, b long"), "confirmed")
+        return materialise(edges.select("a", "b", "sa", "sb").mapInArrow(textvec.releasing(_confirm(self.share)), "a long, b long"), "confirmed")
 
     def blocks(self, several: DataFrame, confirmed: DataFrame) -> DataFrame:
         """Rows for ``_decide``: every block of a large cluster with every chunk of its
@@ -465,7 +465,7 @@ def near_duplicates(
     """
     session(docs)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = materialise(texts.mapInArrow(_embed(words), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
+    sets = materialise(texts.mapInArrow(textvec.releasing(_embed(words)), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
     linked = sets.where("id is not null and n > 0")
     groups = linked.groupBy("k1", "k2").agg(F.min("id").alias("first"))
     # a number for each distinct set, fixed by being written

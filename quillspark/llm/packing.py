@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, session, shuffle_partitions
-from .textvec import chunks
+from .textvec import chunks, releasing
 
 CAPACITY = 1024
 END_ID = 2
@@ -201,7 +201,7 @@ def token_pieces(
                 ] + [pa.array(ids, pa.binary())] * keep_ids
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return chosen.mapInArrow(run, T.StructType(fields))
+    return chosen.mapInArrow(releasing(run), T.StructType(fields))
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -241,7 +241,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(releasing(run), T.StructType(fields))
 
 
 def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = None, *, capacity: int = CAPACITY, **options) -> DataFrame:

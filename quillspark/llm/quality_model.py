@@ -237,6 +237,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", name: str
     def scores(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["t"])
         parts = [shared.value.scores(part.column(0)) for part in textvec.chunks(batch, "t")]
+        textvec.release()
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
     return docs.withColumn(name, scores.asNondeterministic()(F.col(text)))  # a filter on it doesn't evaluate it again

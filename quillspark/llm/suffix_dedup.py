@@ -299,7 +299,7 @@ def _sorted_reach(distinct: DataFrame, least: int, own: list[str]) -> DataFrame:
             yield work(pa.Table.from_batches(held))
 
     kinds = T.StructType([distinct.schema[c] for c in own]).add("lo", "long").add("hi", "long")
-    return distinct.mapInArrow(run, kinds)
+    return distinct.mapInArrow(textvec.releasing(run), kinds)
 
 
 def _large(groups: DataFrame, large: int) -> DataFrame:
@@ -347,7 +347,7 @@ def repeated_intervals(texts: DataFrame, least: int = LEAST, large: int = LARGE)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed, segments = value_filter(texts.select("text"), 1 + 2 * size // span, read=_anchor_hashes(least))
     twice = spark.sparkContext.broadcast(packed)
-    found = materialise(texts.mapInArrow(_context_rows(least, twice, segments), _ROWS), "contexts")
+    found = materialise(texts.mapInArrow(textvec.releasing(_context_rows(least, twice, segments)), _ROWS), "contexts")
     runs = found.where(F.col("n") == RUN).select("k1", "k2", F.col("pos").alias("lo"), F.col("h").alias("hi"))
     contexts = found.where("n > 0")
     many = _large(contexts.select("h", "c1", "c2"), large)
@@ -399,7 +399,10 @@ def _cutter(kept_text: bool):
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if kept_text:
                 out["kept_text"].append(kept.decode("utf-8", "ignore"))
-        return pa.StructArray.from_arrays([pa.array(out[c], kinds[c]) for c in kinds], list(kinds))
+        cut_ = pa.StructArray.from_arrays([pa.array(out[c], kinds[c]) for c in kinds], list(kinds))
+        del out, data, view
+        textvec.release()
+        return cut_
 
     return cut.asNondeterministic()  # else a filter on it would have it evaluated twice
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -107,3 +109,24 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     for end in [*ends, len(lens)]:
         yield batch.slice(at, end - at)
         at = end
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps a worker for other stages,
+    and Arrow and malloc would keep the most that any of them needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc only
+        trim(0)
+
+
+def releasing(run):
+    """``run``, a function for mapInArrow, with ``release`` at the end of a partition."""
+
+    def then_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return then_release

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import session, shuffle_partitions
-from .textvec import chunks, mixed
+from .textvec import chunks, mixed, releasing
 
 LENGTH, PER_SHARD, END_ID, ROUNDS = 1024, 4096, 2, 6
 #: Records that a task makes or reads at a time.
@@ -149,14 +149,14 @@ def write_shards(
     spark = session(docs)
     texts = docs.select(F.col(text).alias("text"))
     how = (tokenizer_json, ranks_file, length, end_id)
-    found = {r["partition"]: r["n"] for r in texts.mapInArrow(_count(*how[:3]), "partition long, n long").collect()}  # a row per input split
+    found = {r["partition"]: r["n"] for r in texts.mapInArrow(releasing(_count(*how[:3])), "partition long, n long").collect()}  # a row per input split
     counts = np.array([found.get(i, 0) for i in range(max(found, default=-1) + 1)], np.int64)
     total = int(counts.sum())
     layout = Layout(path, total, -(-total // per_shard), per_shard, length, key)
     if total:
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         shared = [spark.sparkContext.broadcast(x) for x in (starts, counts)]
-        records = texts.mapInArrow(_records(*how, *shared, total, key, per_shard), "shard long, slot long, record binary")
+        records = texts.mapInArrow(releasing(_records(*how, *shared, total, key, per_shard)), "shard long, slot long, record binary")
         tasks = min(layout.shards, max(shuffle_partitions(spark), 1))
         ranged = records.repartitionById(tasks, (F.col("shard") * tasks / layout.shards).cast("int"))  # ranges of whole shards
         ranged = ranged.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
@@ -207,4 +207,4 @@ def read_slots(spark: SparkSession, layout: Layout, first: int = 0, last: int |
         values += [raw] * with_ids
         return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, _, kind) in zip(values, fields)], schema.names)
 
-    return files.select(F.col("shard").cast("long"), "content").mapInArrow(run, schema)
+    return files.select(F.col("shard").cast("long"), "content").mapInArrow(releasing(run), schema)
