@@ -34,6 +34,7 @@ Texts are identified by two 64-bit hashes: equal texts have equal intervals.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -382,8 +383,7 @@ def _cutter(kept_text: bool):
     kinds |= {"kept_text": pa.string()} if kept_text else {}
     types = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
 
-    @F.arrow_udf(T.StructType([T.StructField(name, types[kind]) for name, kind in kinds.items()]))
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    def piece(text: pa.Array, spans: pa.Array) -> pa.Array:
         data, offsets = textvec.string_bytes(text)
         view, out = memoryview(data), {name: [] for name in kinds}
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -399,10 +399,14 @@ def _cutter(kept_text: bool):
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if kept_text:
                 out["kept_text"].append(kept.decode("utf-8", "ignore"))
-        cut_ = pa.StructArray.from_arrays([pa.array(out[c], kinds[c]) for c in kinds], list(kinds))
-        del out, data, view
+        return pa.StructArray.from_arrays([pa.array(out[c], kinds[c]) for c in kinds], list(kinds))
+
+    @F.arrow_udf(T.StructType([T.StructField(name, types[kind]) for name, kind in kinds.items()]))
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, spans in batches:  # many MB; the kept texts go back in small pieces
+            for part in textvec.chunks(pa.RecordBatch.from_arrays([text, spans], ["text", "spans"]), "text"):
+                yield piece(part.column("text"), part.column("spans"))
         textvec.release()
-        return cut_
 
     return cut.asNondeterministic()  # else a filter on it would have it evaluated twice
 
