@@ -15,7 +15,9 @@ def with_dense_ids(df: DataFrame, name: str, first: int = 0, store: str | None =
 
     The partition-local ids are written down first (to ``store``, or a scratch
     table), so numbering can't change; then the small table of partition counts
-    gives each partition its offset.
+    gives each partition its offset. That table is the side to broadcast, by name:
+    Spark reckons sizes by columns, and where only the new number is read it takes
+    the rows themselves for the smaller side.
     """
     spark = df.sparkSession
     numbered = df.withColumn("__m", F.monotonically_increasing_id())
@@ -29,7 +31,7 @@ def with_dense_ids(df: DataFrame, name: str, first: int = 0, store: str | None =
     before = F.sum("__n").over(Window.orderBy("__p")) - F.col("__n") + first  # one row per partition
     offsets = counts.select("__p", before.alias("__before"))
     row = F.col("__before") + F.col("__m").bitwiseAND((1 << _LOCAL_BITS) - 1)
-    return numbered.join(offsets, part == F.col("__p")).withColumn(name, row).drop("__m", "__p", "__before")
+    return numbered.join(F.broadcast(offsets), part == F.col("__p")).withColumn(name, row).drop("__m", "__p", "__before")
 
 
 def index_permutation(df: DataFrame, key: str, row_id: str = "row_id") -> DataFrame:
