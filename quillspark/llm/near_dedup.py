@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, materialise, session
+from .common import discard, materialise, release_shuffles, session
 from .components import connected_components
-from .exact_dedup import membership, value_filter
+from .exact_dedup import may_hold, membership, value_filter
 
 COORDINATES = 128
 TREES = 12
@@ -306,6 +306,7 @@ class _Join:
     def __init__(self, texts: DataFrame, vertices: DataFrame, words: int, share: tuple[int, int]):
         self.texts, self.vertices, self.words, self.share = texts, vertices, words, share
         self.similarity = share[0] / share[1]
+        self.near = vertices  # those that the nodes in hand may have
         self.edges: list[DataFrame] = []  # what may hang together
         self.cluster: DataFrame | None = None
 
@@ -328,6 +329,12 @@ class _Join:
         before, self.cluster = self.cluster, materialise(every, "clusters")
         discard(before, merged)
 
+    def among(self, rows: DataFrame) -> DataFrame:
+        """The vertices that ``rows`` has, and a few others: joins needn't shuffle the rest."""
+        packed, segments = value_filter(rows.select(F.xxhash64("id").alias("h")), rows.count(), least=1)
+        maybe = may_hold(rows.sparkSession.sparkContext.broadcast(packed), segments)
+        return self.vertices.where(maybe(F.xxhash64("id")))
+
     def labelled(self, rows: DataFrame) -> DataFrame:
         if self.cluster is None:
             return rows.withColumn("cluster", F.col("id"))
@@ -338,7 +345,7 @@ class _Join:
         """Edges of nodes that end here: small ones in themselves, large ones
         between the documents outside their main cluster and all others."""
         member = F.collect_list(F.struct("id", "cluster", "n", "sketch"))
-        nodes = nodes.join(self.vertices.select("id", "n", "sketch"), "id")
+        nodes = nodes.join(self.near.select("id", "n", "sketch"), "id")
         if small:
             lists = nodes.groupBy("path").agg(member.alias("members"))
             lists = lists.select("members", F.lit(None).cast(lists.schema["members"].dataType).alias("others"))
@@ -354,11 +361,12 @@ class _Join:
         shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
         shared = materialise(shared.where("size > 1"), "shared-nodes")  # both sides of the join are plain exchanges then
         nodes = materialise(nodes.join(shared, "path"), "nodes")
+        release_shuffles(nodes.sparkSession)
         small = self.labelled(nodes.where(F.col("size") <= SMALL).select("path", "id"))
         edges = self.compared(small, True)
         star = nodes.where((F.col("size") > SMALL) & (F.col("id") != F.col("leader")))
         star = star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        v = self.vertices
+        v = self.near
         left = v.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = v.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         star = star.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
@@ -374,9 +382,10 @@ class _Join:
         parts = parts.where("most < size").select("path", "main", (F.col("size") - F.col("most")).alias("outside"))
         parts = materialise(parts, "parts")
         open_ = materialise(large.join(parts, "path"), "open-nodes")
+        self.near = self.among(open_)
         ends = F.col("outside") <= OUTSIDE
         self.add(self.compared(open_.where(ends), False))
-        below = open_.where(~ends).join(self.vertices.select("id", "tokens"), "id").select("path", "id", "tokens")
+        below = open_.where(~ends).join(self.near.select("id", "tokens"), "id").select("path", "id", "tokens")
         below = materialise(below.mapInArrow(textvec.releasing(_branch), "path long, id long"), "branches")
         discard(shared, nodes, large, parts, open_)
         return below
@@ -450,6 +459,13 @@ class _Join:
         return materialise(block.unionByName(chunk), "block-rows")
 
 
+def _vertices(linked: DataFrame) -> DataFrame:
+    """A row for each distinct set. Tokens are shuffled once, and of copies those of one a task."""
+    sets = linked.groupBy("k1", "k2").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sketch = F.concat(*(F.substring("tokens", 4 * i + 1, 1) for i in range(COORDINATES)))
+    return sets.select(F.monotonically_increasing_id().alias("id"), "doc", "k1", "k2", "n", "tokens", sketch.alias("sketch"))
+
+
 def near_duplicates(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, share: tuple[int, int] = (4, 5),
 ) -> DataFrame:
@@ -467,21 +483,16 @@ def near_duplicates(
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialise(texts.mapInArrow(textvec.releasing(_embed(words)), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
     linked = sets.where("id is not null and n > 0")
-    groups = linked.groupBy("k1", "k2").agg(F.min("id").alias("first"))
-    # a number for each distinct set, fixed by being written
-    groups = materialise(groups.withColumn("v", F.monotonically_increasing_id()), "groups")
+    vertices = materialise(_vertices(linked), "vertices")  # with a number for each distinct set, fixed by being written
+    groups = vertices.select("k1", "k2", F.col("doc").alias("first"), F.col("id").alias("v"))
     members = materialise(linked.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "n", "first", "v"), "members")
-    chosen = linked.join(groups, ["k1", "k2"]).where("id = first")
-    sketch = F.concat(*(F.substring("tokens", 4 * i + 1, 1) for i in range(COORDINATES)))
-    vertices = chosen.select(F.col("v").alias("id"), F.col("first").alias("doc"), "k1", "k2", "n", "tokens", sketch.alias("sketch"))
-    vertices = materialise(vertices.dropDuplicates(["id"]), "vertices")
     alone = materialise(sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component")), "alone")
     discard(sets)
     parts = _Join(texts, vertices, words, share).run().withColumnsRenamed({"id": "v", "component": "part"})
     smallest = groups.select("v", "first").join(parts, "v")
     smallest = smallest.join(smallest.groupBy("part").agg(F.min("first").alias("component")), "part").select("v", "component")
     smallest = materialise(smallest, "smallest")
-    discard(vertices, groups)
+    discard(vertices)
     out = members.join(smallest, "v", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
     out = out.unionByName(alone)
     return out.select(

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup as exact
 from quillspark.llm import near_dedup as near
@@ -115,6 +116,15 @@ def test_near_repeated_ids(spark):
     assert got == [(1, 1, 1, True), (3, 40, 3, True), (5, 39, 3, False), (5, 39, 5, True), (5, 39, 5, True), (9, 40, 5, False)]
 
 
+def test_vertices_shuffle_tokens_once(spark):
+    """One exchange holds the tokens, and after the map side a group of copies is one row a task."""
+    rows = spark.range(0, 90, 1, 3).select("id", (F.col("id") % 2).alias("k1"), (F.col("id") % 2 + 7).alias("k2"), (F.col("id") % 2 + 5).alias("n"), F.col("id").cast("string").cast("binary").alias("tokens"))
+    out = near._vertices(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_first(tokens" in plan
+    assert sorted((r.doc, r.k1, r.n) for r in out.collect()) == [(0, 0, 5), (1, 1, 6)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)]
