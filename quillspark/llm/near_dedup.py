@@ -5,12 +5,14 @@ minwise tokens; their low bytes are its sketch. In each of ``TREES`` independent
 trees a node picks one of these coordinates (every fourth time, on average, two:
 1 / similarity branches for 0.8) and sends each of its documents to the child
 named by the document's token there. Nodes of up to ``SMALL`` documents are
-compared exhaustively by sketch. A larger one tests its documents against one
+compared exhaustively by sketch. That is done in two steps, as sketches are most of
+what a node moves: ``CODE`` coordinates at half a byte, the *code*, say which of its
+documents may have a partner there, and only these bring their sketches. A larger one tests its documents against one
 leader; if then all but ``OUTSIDE`` of them are in one cluster, these are
 compared with all, block by block, and otherwise it branches again. A pair of
 similarity s shares a chosen child with probability s or more, so by ``TREES``
 repetitions a link is missed with a probability of about 1e-6 where the second
-level ends its branch, and 3e-4 where the fourth does.
+level ends its branch, and 3e-4 where the fourth does; codes add less than 1e-7.
 
 Sketches only say who may be linked, and a node hands on a spanning forest of
 that, never its pairs. What hangs together is a *cluster*; its documents come
@@ -37,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
 from .common import discard, materialise, release_shuffles, session
@@ -50,6 +53,9 @@ OUTSIDE = 1024
 BLOCK = 2048
 TOGETHER = 512
 SHINGLES = 1_000_000
+CODE = 48
+#: Pairs of codes compared at once, a million or so of them.
+PAIRS = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(0xC405E4))
 _A = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -159,20 +165,104 @@ def _least_matches(similarity: float) -> int:
     return max(1, math.floor(mean - 4.8 * math.sqrt(mean * (1 - similarity))))
 
 
-def _by_sketch(similarity: float):
-    """Of (a, b, na, nb, sa, sb) the pairs that may be linked."""
-    least = _least_matches(similarity)
+def _least_code_matches(similarity: float) -> int:
+    """Equal places of the codes of a linked pair, but for a chance of less than 1e-7."""
+    least, below = 0, (1 - similarity) ** CODE
+    while below < 1e-7 and least < CODE:
+        least += 1
+        below += math.comb(CODE, least) * similarity**least * (1 - similarity) ** (CODE - least)
+    return least
+
+
+@F.arrow_udf(T.BinaryType())
+def _code(sketch: pa.Array) -> pa.Array:
+    half = _matrix(sketch, np.uint8)[:, :CODE] & 15
+    packed = np.ascontiguousarray(half[:, ::2] | half[:, 1::2] << 4)
+    return pa.array([row.tobytes() for row in packed], pa.binary())
+
+
+def _code_matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal half bytes in each row of two matrices of 64-bit words."""
+    differ = x ^ y
+    differ |= differ >> np.uint64(1)
+    differ |= differ >> np.uint64(2)
+    differ &= np.uint64(0x1111111111111111)
+    return CODE - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+
+
+def _by_code(similarity: float):
+    """Of (a, b, na, nb, ca, cb) the pairs whose sketches are to be compared."""
+    least = _least_code_matches(similarity)
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            same = (_matrix(batch.column(4), np.uint8) == _matrix(batch.column(5), np.uint8)).sum(axis=1)
-            fine = (same >= least) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9)
+            fine = _code_matches(*(_matrix(batch.column(i), np.uint64) for i in (4, 5))) >= least
+            fine &= np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     return run
 
 
+def _by_sketch(similarity: float):
+    """Of (a, b, sa, sb) the pairs that may be linked."""
+    least = _least_matches(similarity)
+
+    def run(batches):
+        for batch in batches:
+            same = (_matrix(batch.column(2), np.uint8) == _matrix(batch.column(3), np.uint8)).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(same >= least))
+
+    return run
+
+
+def _promising(similarity: float):
+    """(path, id, cluster) of the documents that may be linked, by their codes, with one
+    of another cluster in their list (or in the other list, where ``others`` isn't null)."""
+    least = _least_code_matches(similarity)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            between = batch.column(2).null_count == 0
+            first, path_a = _flat(batch.column(1), batch.column(0))
+            rows = [first, _flat(batch.column(2), batch.column(0))[0]] if between else [first, first]
+            (at, _, cluster, n, code), (other_at, _, other_cluster, other_n, other_code) = rows
+            size = np.diff(at)
+            place = np.repeat(np.arange(len(size)), size)  # of each row its list
+            base = other_at[place] if between else at[place]
+            count = np.diff(other_at)[place] if between else np.arange(len(place)) - at[place]
+            marked = np.zeros(len(place), bool)
+            marks = [marked, np.zeros(len(other_n), bool) if between else marked]
+            total, a = np.concatenate([[0], np.cumsum(count)]), 0
+            while a < len(place):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1)
+                left = np.repeat(np.arange(a, b), count[a:b])
+                right = np.arange(total[a], total[b]) - (total[left] - base[left])
+                fine = cluster[left] != other_cluster[right]
+                fine &= np.minimum(n[left], other_n[right]) >= similarity * np.maximum(n[left], other_n[right]) - 1e-9
+                left, right = left[fine], right[fine]
+                fine = _code_matches(code[left], other_code[right]) >= least
+                marks[0][left[fine]] = True
+                marks[1][right[fine]] = True
+                a = b
+            for (at, ids, cluster, *_), mark in list(zip(rows, marks))[: 1 + between]:
+                path = np.repeat(path_a, np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(x[mark]) for x in (path, ids, cluster)], ["path", "id", "cluster"])
+
+    return run
+
+
+def _flat(lists: pa.ListArray, path: pa.Array) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Where each list begins and ends among all rows, with their columns; and the paths."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.flatten()
+    ids, cluster, n = (values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "cluster", "n"))
+    code = _matrix(values.field("bits"), np.uint64)
+    return (at - at[0], ids, cluster, n, code), path.to_numpy(zero_copy_only=False)
+
+
 def _forest(similarity: float):
     """Edges that join, by sketch, clusters in a list of documents (or between two
     lists, where ``others`` isn't null): as few as say what hangs together."""
@@ -181,7 +271,7 @@ def _forest(similarity: float):
     def run(batches):
         for batch in batches:
             out_a, out_b = [], []
-            for members, others in zip(batch.column(0), batch.column(1)):
+            for members, others in zip(batch.column(1), batch.column(2)):
                 ids, cluster, n, s = _listed(members.values)
                 between = others.is_valid
                 rows = _listed(others.values) if between else (ids, cluster, n, s)
@@ -205,7 +295,7 @@ def _forest(similarity: float):
 
 def _listed(values: pa.StructArray) -> tuple[np.ndarray, ...]:
     numbers = [values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "cluster", "n")]
-    return *numbers, _matrix(values.field("sketch"), np.uint8)
+    return *numbers, _matrix(values.field("bits"), np.uint8)
 
 
 def linked_with(queries: list[np.ndarray], sets: list[np.ndarray], share: tuple[int, int]):
@@ -300,12 +390,14 @@ def _set_key(s: np.ndarray) -> np.ndarray:
 
 
 class _Join:
-    """``vertices``: id, doc, k1, k2, n, tokens, sketch, a row for each distinct set;
-    ``texts``: id (of a document) and text."""
+    """``vertices``: id, n, tokens, sketch, code, a row for each distinct set, deleted
+    when the trees are done; ``keys``: id, doc, k1, k2, n of them; ``texts``: id (of a
+    document) and text."""
 
-    def __init__(self, texts: DataFrame, vertices: DataFrame, words: int, share: tuple[int, int]):
-        self.texts, self.vertices, self.words, self.share = texts, vertices, words, share
+    def __init__(self, texts: DataFrame, vertices: DataFrame, keys: DataFrame, words: int, share: tuple[int, int]):
+        self.texts, self.vertices, self.keys, self.words, self.share = texts, vertices, keys, words, share
         self.similarity = share[0] / share[1]
+        self.spent: list[DataFrame] = []  # tables that only the edges in hand read
         self.near = vertices  # those that the nodes in hand may have
         self.edges: list[DataFrame] = []  # what may hang together
         self.cluster: DataFrame | None = None
@@ -314,6 +406,8 @@ class _Join:
         """Takes more edges, and brings the clusters up to date with them alone."""
         edges = materialise(edges.distinct(), "candidates")
         self.edges.append(edges)
+        discard(*self.spent)
+        self.spent = []
         ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if self.cluster is None:
             self.cluster = connected_components(edges)
@@ -341,50 +435,75 @@ class _Join:
         known = self.cluster.withColumnRenamed("component", "cluster")
         return rows.join(known, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
 
-    def compared(self, nodes: DataFrame, small: bool) -> DataFrame:
-        """Edges of nodes that end here: small ones in themselves, large ones
-        between the documents outside their main cluster and all others."""
-        member = F.collect_list(F.struct("id", "cluster", "n", "sketch"))
-        nodes = nodes.join(self.near.select("id", "n", "sketch"), "id")
-        if small:
-            lists = nodes.groupBy("path").agg(member.alias("members"))
-            lists = lists.select("members", F.lit(None).cast(lists.schema["members"].dataType).alias("others"))
-        else:
-            outside = nodes.where("cluster <> main").groupBy("path").agg(member.alias("others"))
-            block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
-            blocks = nodes.groupBy("path", block.alias("block")).agg(member.alias("members"))
-            lists = blocks.join(outside, "path").select("members", "others")
+    def compared(self, nodes: DataFrame, main: DataFrame | None = None) -> DataFrame:
+        """Edges of nodes that end here: small ones in themselves, large ones (those in
+        ``main``: path, main, size) between the documents outside their main cluster and
+        all others."""
+        nodes = nodes.select("path", "id", "cluster")
+        lists = self.lists(nodes, main, self.near.select("id", "n", F.col("code").alias("bits")))
+        found = lists.mapInArrow(textvec.releasing(_promising(self.similarity)), "path long, id long, cluster long")
+        found = materialise(found if main is None else found.distinct(), "promising")
+        self.spent.append(found)
+        release_shuffles(found.sparkSession)
+        lists = self.lists(found, main, self.among(found).select("id", "n", F.col("sketch").alias("bits")))
         return lists.mapInArrow(textvec.releasing(_forest(self.similarity)), "a long, b long")
 
+    def lists(self, nodes: DataFrame, main: DataFrame | None, bits: DataFrame) -> DataFrame:
+        """(path, members, others), in blocks of members where there are others."""
+        member = F.collect_list(F.struct("id", "cluster", "n", "bits"))
+        nodes = nodes.join(bits, "id")
+        if main is None:
+            lists = nodes.groupBy("path").agg(member.alias("members"))
+            return lists.select("path", "members", F.lit(None).cast(lists.schema["members"].dataType).alias("others"))
+        nodes = nodes.join(main.select("path", "main", "size"), "path")
+        outside = nodes.where("cluster <> main").groupBy("path").agg(member.alias("others"))
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+        blocks = nodes.groupBy("path", block.alias("block")).agg(member.alias("members"))
+        return blocks.join(outside, "path").select("path", "members", "others")
+
+    def starred(self, star: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that may be linked."""
+        codes = self.near.select("id", "n", "code")
+        for end in ("a", "b"):
+            star = star.join(codes.withColumnsRenamed({"id": end, "n": f"n{end}", "code": f"c{end}"}), end)
+        star = star.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(textvec.releasing(_by_code(self.similarity)), "a long, b long")
+        star = materialise(star, "promising-pairs")
+        self.spent.append(star)
+        release_shuffles(star.sparkSession)
+        sketches = self.among(star.select(F.explode(F.array("a", "b")).alias("id"))).select("id", "sketch")
+        for end in ("a", "b"):
+            star = star.join(sketches.withColumnsRenamed({"id": end, "sketch": f"s{end}"}), end)
+        return star.select("a", "b", "sa", "sb").mapInArrow(textvec.releasing(_by_sketch(self.similarity)), "a long, b long")
+
     def level(self, nodes: DataFrame) -> DataFrame | None:
         """Takes edges from one level of the trees; returns the nodes below it."""
         shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id")).alias("leader"))
         shared = materialise(shared.where("size > 1"), "shared-nodes")  # both sides of the join are plain exchanges then
         nodes = materialise(nodes.join(shared, "path"), "nodes")
         release_shuffles(nodes.sparkSession)
-        small = self.labelled(nodes.where(F.col("size") <= SMALL).select("path", "id"))
-        edges = self.compared(small, True)
+        small = nodes.where(F.col("size") <= SMALL).select("path", "id")
+        if self.cluster is None:  # what a part of the trees' nodes finds together has no need of its sketches in the rest
+            part = F.pmod("path", F.lit(4)) == 0
+            self.add(self.compared(self.labelled(small.where(part))))
+            small = small.where(~part)
         star = nodes.where((F.col("size") > SMALL) & (F.col("id") != F.col("leader")))
         star = star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        v = self.near
-        left = v.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = v.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        star = star.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-        self.add(edges.unionByName(star.mapInArrow(textvec.releasing(_by_sketch(self.similarity)), "a long, b long")))
+        self.add(self.compared(self.labelled(small)).unionByName(self.starred(star)))
 
         large = nodes.where(F.col("size") > SMALL).select("path", "id", "size")
         if large.isEmpty():
             discard(shared, nodes)
             return None
         large = materialise(self.labelled(large), "large-nodes")
+        release_shuffles(large.sparkSession)
         parts = large.groupBy("path", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
         parts = parts.groupBy("path", "size").agg(F.max("n").alias("most"), F.max_by("cluster", "n").alias("main"))
-        parts = parts.where("most < size").select("path", "main", (F.col("size") - F.col("most")).alias("outside"))
+        parts = parts.where("most < size").select("path", "main", "size", (F.col("size") - F.col("most")).alias("outside"))
         parts = materialise(parts, "parts")
-        open_ = materialise(large.join(parts, "path"), "open-nodes")
+        open_ = materialise(large.drop("size").join(parts, "path"), "open-nodes")
         self.near = self.among(open_)
         ends = F.col("outside") <= OUTSIDE
-        self.add(self.compared(open_.where(ends), False))
+        self.add(self.compared(open_.where(ends), parts.where(ends)))
         below = open_.where(~ends).join(self.near.select("id", "tokens"), "id").select("path", "id", "tokens")
         below = materialise(below.mapInArrow(textvec.releasing(_branch), "path long, id long"), "branches")
         discard(shared, nodes, large, parts, open_)
@@ -395,8 +514,9 @@ class _Join:
         nodes = self.level(self.vertices.select("id", "tokens").mapInArrow(textvec.releasing(_roots), "path long, id long"))
         while nodes is not None and not nodes.isEmpty():
             nodes = self.level(nodes)
+        discard(self.vertices)  # tokens and sketches have done their work
         clusters = self.cluster.withColumnRenamed("component", "cluster")
-        placed = clusters.join(self.vertices.select("id", "n"), "id")
+        placed = clusters.join(self.keys.select("id", "n"), "id")
         sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
         one = (F.col("docs") <= TOGETHER) & (F.col("shingles") <= SHINGLES)
         blocks = F.when(one, 1).otherwise(1 + F.greatest(F.ceil(2 * F.col("docs") / TOGETHER), F.ceil(2 * F.col("shingles") / SHINGLES)))
@@ -405,13 +525,14 @@ class _Join:
         sets = self.full_sets(placed)
         one = F.col("blocks") == 1
         zero = F.lit(0).cast("int")
-        rows = placed.where(one).select("cluster", zero.alias("i"), zero.alias("j"), "id", F.col("id").alias("known"), F.lit(True).alias("query"))
+        columns = ["cluster", "i", "j", "id", "known", "query", "set"]
+        rows = sets.where(one).select("cluster", zero.alias("i"), zero.alias("j"), "id", F.col("id").alias("known"), F.lit(True).alias("query"), "set")
         several = placed.where(~one)
         confirmed = None
         if not several.isEmpty():
-            confirmed = self.confirmed(several.select("id"), sets)
-            rows = rows.unionByName(self.blocks(several, confirmed))
-        rows = rows.join(sets, "id").select("cluster", "i", "j", "id", "known", "query", "set")
+            large = sets.where(~one).select("id", "set")
+            confirmed = self.confirmed(several.select("id"), large)
+            rows = rows.unionByName(self.blocks(several, confirmed).join(large, "id").select(*columns))
         rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         links = rows.mapInArrow(textvec.releasing(_decide(self.share)), "a long, b long")
         links = materialise(links if confirmed is None else links.unionByName(confirmed), "links")
@@ -419,15 +540,17 @@ class _Join:
         return connected_components(links)
 
     def full_sets(self, placed: DataFrame) -> DataFrame:
-        """(id, set) of the placed vertices, read from the texts again."""
+        """(id, cluster, blocks, set) of the placed vertices, read from the texts again
+        and shuffled once."""
         spark = placed.sparkSession
-        wanted = materialise(placed.select("id").join(self.vertices.select("id", "doc", "k1", "k2"), "id"), "wanted")
+        wanted = materialise(placed.join(self.keys.select("id", "doc", "k1", "k2"), "id"), "wanted")
         packed, segments = value_filter(wanted.select(F.xxhash64("doc").alias("h")), wanted.count(), least=1)
         needed = spark.sparkContext.broadcast(packed)
         texts = self.texts.where("id is not null").select(F.xxhash64("id").alias("h"), "text")
-        sets = materialise(texts.mapInArrow(textvec.releasing(_full_sets(self.words, needed, segments)), "k1 long, k2 long, set binary"), "found-sets")
-        out = materialise(sets.join(wanted.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "set").dropDuplicates(["id"]), "sets")
-        discard(wanted, sets)
+        sets = texts.mapInArrow(textvec.releasing(_full_sets(self.words, needed, segments)), "k1 long, k2 long, set binary")
+        sets = sets.join(wanted.drop("doc"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # a key has one id
+        out = materialise(sets.select("id", "cluster", "blocks", "set"), "sets")
+        discard(wanted)
         return out
 
     def confirmed(self, vertices: DataFrame, sets: DataFrame) -> DataFrame:
@@ -483,16 +606,19 @@ def near_duplicates(
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = materialise(texts.mapInArrow(textvec.releasing(_embed(words)), "id long, n long, k1 long, k2 long, tokens binary"), "sets")
     linked = sets.where("id is not null and n > 0")
-    vertices = materialise(_vertices(linked), "vertices")  # with a number for each distinct set, fixed by being written
-    groups = vertices.select("k1", "k2", F.col("doc").alias("first"), F.col("id").alias("v"))
+    # with a number for each distinct set, fixed by being written
+    vertices = materialise(_vertices(linked).withColumn("code", _code("sketch")), "vertices")
+    release_shuffles(vertices.sparkSession)
+    keys = materialise(vertices.select("id", "doc", "k1", "k2", "n"), "keys")
+    groups = keys.select("k1", "k2", F.col("doc").alias("first"), F.col("id").alias("v"))
     members = materialise(linked.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "n", "first", "v"), "members")
     alone = materialise(sets.where("id is null or n = 0").select("id", "n", F.col("id").alias("component")), "alone")
     discard(sets)
-    parts = _Join(texts, vertices, words, share).run().withColumnsRenamed({"id": "v", "component": "part"})
+    parts = _Join(texts, vertices, keys, words, share).run().withColumnsRenamed({"id": "v", "component": "part"})
     smallest = groups.select("v", "first").join(parts, "v")
     smallest = smallest.join(smallest.groupBy("part").agg(F.min("first").alias("component")), "part").select("v", "component")
     smallest = materialise(smallest, "smallest")
-    discard(vertices)
+    discard(keys)
     out = members.join(smallest, "v", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
     out = out.unionByName(alone)
     return out.select(

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,32 @@ def test_vertices_shuffle_tokens_once(spark):
     assert sorted((r.doc, r.k1, r.n) for r in out.collect()) == [(0, 0, 5), (1, 1, 6)]
 
 
+@pytest.mark.parametrize("between", [False, True])
+def test_promising_names_who_needs_a_sketch(monkeypatch, between):
+    """Codes are a fifth of a sketch; they pass all linked pairs and hardly any others."""
+    monkeypatch.setattr(near, "PAIRS", 50)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (6, 400), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 6][: 400 - 12 * (i // 6)], rng.integers(0, 2**63, 2 * (i // 6), dtype=np.uint64)])) for i in range(18)]
+    sets += [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(12)]
+    tokens = np.array([near.minwise_tokens(s) for s in sets])
+    bits = near._code.func(pa.array([row.astype(np.uint8).tobytes() for row in tokens], pa.binary())).to_pylist()
+    assert {len(b) for b in bits} == {near.CODE // 2}
+    rows = [{"id": i, "cluster": i % 6 if i in (0, 6) else 100 + i, "n": len(s), "bits": b} for i, (s, b) in enumerate(zip(sets, bits))]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("cluster", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())]))
+    lists = [rows[:20], rows[20:21], rows[10:]]
+    others = [rows[12:15], rows[:2], rows[:6]] if between else [None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(lists, kind), pa.array(others, kind)], ["path", "members", "others"])
+    want = set()
+    for path, some, rest in zip((7, 8, 9), lists, others):
+        for x in some:
+            for y in some if rest is None else rest:
+                if x["id"] % 6 == y["id"] % 6 and max(x["id"], y["id"]) < 18 and x["cluster"] != y["cluster"]:
+                    want |= {(path, r["id"], r["cluster"]) for r in (x, y)}
+    got = [tuple(r.values()) for out in near._promising(0.8)(iter([batch])) for r in out.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want and (9, 25, 125) not in want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)]
