@@ -6,12 +6,16 @@ backpointers of what isn't committed yet. After each block it walks back from
 all positions that a later piece can still start at; where these paths meet in
 one boundary, the ids up to it are committed and their backpointers go. Of
 equal segmentations the one with the longer last piece wins, so the result
-doesn't depend on how a text was cut into blocks.
+doesn't depend on how a text was cut into blocks. Scores of a BPE model are exact
+integers. Those of a unigram model are summed as the library does it, in float32 from
+the start of each text, as its rounding decides between segmentations that have the
+same pieces in another order.
 
 Many texts run side by side, one a *lane*, so that a step over all lanes is one
 array operation. A boundary that no piece of the vocabulary can cross (before a
 blank that follows a non-blank, beside a line end) is one where all paths meet
-whatever surrounds it; long texts go on in the next lane there.
+whatever surrounds it; long texts go on in the next lane there, but for unigram
+models, whose sums depend on all that came before.
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ class Vocabulary:
     """Pieces and scores of a model file; pieces as a trie in a hash table.
 
     Scores of a BPE model are ranks (0, -1, -2, ...), not logarithms of
-    frequencies. Such ranks are read by Zipf's law: -log(1 + rank).
+    frequencies. Such ranks are read by Zipf's law: -log(1 + rank). ``exact`` says
+    that scores are integers, as they are then.
     """
 
     def __init__(self, model_file: str):
@@ -65,11 +70,15 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 pieces[piece], scores[piece] = i, sp.get_score(i)
                 self.bytes_of[i] = piece.replace(BLANK, " ").encode()
-        if all(s <= 0 and s == int(s) for s in scores.values()):
+        self.exact = all(s <= 0 and s == int(s) for s in scores.values())
+        if self.exact:
             scores = {p: -float(np.log1p(-s)) for p, s in scores.items()}
-        unknown = min(scores.values()) - UNKNOWN_PENALTY
-        scores = {p: round(s * SCALE) << LENGTH_BITS for p, s in scores.items()}
-        self.unknown = round(unknown * SCALE) << LENGTH_BITS
+            unknown = min(scores.values()) - UNKNOWN_PENALTY
+            scores = {p: round(s * SCALE) << LENGTH_BITS for p, s in scores.items()}
+            self.unknown = round(unknown * SCALE) << LENGTH_BITS
+        else:
+            self.unknown = np.float32(min(scores.values())) - np.float32(UNKNOWN_PENALTY)
+        self.score_type, self.no = (np.int64, _NO) if self.exact else (np.float32, np.float32(-np.inf))
         self.longest = max(map(len, pieces))
         if self.longest >> LENGTH_BITS:
             raise ValueError(f"a piece has {self.longest} letters, more than {(1 << LENGTH_BITS) - 1}")
@@ -98,7 +107,7 @@ class Vocabulary:
                     piece_at.append(-1)
                     score_at.append(0)
             piece_at[node], score_at[node] = number, scores[piece]
-        self.piece_at, self.score_at = np.array(piece_at, np.int32), np.array(score_at, np.int64)
+        self.piece_at, self.score_at = np.array(piece_at, np.int32), np.array(score_at, self.score_type)
         keys, values = np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int32)
         self.first = np.full(width, -1, np.int32)  # the root's children
         self.first[keys[keys < width]] = values[keys < width]
@@ -127,10 +136,10 @@ class StreamingViterbi:
         self.v, self.lanes = vocabulary, lanes
         longest = vocabulary.longest
         self.unread = np.zeros((0, lanes), np.uint16)  # letters whose longest piece may end beyond what is in sight
-        self.best = np.full((longest, lanes), _NO)  # scores of the last positions, the newest last
+        self.best = np.full((longest, lanes), vocabulary.no)  # scores of the last positions, the newest last
         self.best[-1] = 0
         # by (place, longest - length, lane) the pieces that end there; the first ``longest`` places hold those found before
-        self.ends = np.full((longest, longest, lanes), _NO)
+        self.ends = np.full((longest, longest, lanes), vocabulary.no)
         self.ids_ahead = np.zeros((longest, longest, lanes), np.int32)
         self.lengths = np.zeros((1, lanes), np.uint8)  # of the best piece that ends at each position from ``base`` on
         self.ids = np.zeros((1, lanes), np.int32)
@@ -163,7 +172,7 @@ class StreamingViterbi:
         """Extends all paths by ``steps`` letters."""
         v, lanes, longest = self.v, self.lanes, self.v.longest
         if len(self.ends) < steps + longest:  # kept for the next block
-            self.ends = np.concatenate([self.ends, np.full((steps + longest - len(self.ends), longest, lanes), _NO)])
+            self.ends = np.concatenate([self.ends, np.full((steps + longest - len(self.ends), longest, lanes), v.no)])
             self.ids_ahead = np.concatenate([self.ids_ahead, np.zeros((steps + longest - len(self.ids_ahead), longest, lanes), np.int32)])
         ends, ids, letters = self.ends.reshape(-1), self.ids_ahead.reshape(-1), self.unread.reshape(-1)
         stride = longest * lanes
@@ -171,7 +180,7 @@ class StreamingViterbi:
         def found(start: np.ndarray, length: int, score, number) -> None:
             row = start // lanes
             to = start + row * (stride - lanes) + ((length - 1) * stride + (longest - length) * lanes)
-            ends[to] = score + length
+            ends[to] = score + length if v.exact else score
             ids[to] = number
 
         here = letters[: steps * lanes]
@@ -188,21 +197,27 @@ class StreamingViterbi:
             node = v.child(node, letters[at + length * lanes])
             some = np.flatnonzero(node >= 0)
             at, node = at[some], node[some]
-        best = np.empty((longest + steps, lanes), np.int64)
+        best = np.empty((longest + steps, lanes), v.score_type)
         best[:longest] = self.best
         lengths = np.empty((steps, lanes), np.int64)
-        paths, mask = np.empty((longest, lanes), np.int64), np.int64((1 << LENGTH_BITS) - 1)
+        paths, mask = np.empty((longest, lanes), v.score_type), np.int64((1 << LENGTH_BITS) - 1)
         for j in range(steps):
             np.add(best[j:j + longest], self.ends[j], out=paths)
-            np.maximum.reduce(paths, axis=0, out=lengths[j])
-            np.bitwise_and(lengths[j], ~mask, out=best[j + longest])
-        lengths &= mask
+            if v.exact:
+                np.maximum.reduce(paths, axis=0, out=lengths[j])
+                np.bitwise_and(lengths[j], ~mask, out=best[j + longest])
+            else:
+                np.argmax(paths, axis=0, out=lengths[j])  # the first, so the longest, of equals
+                np.maximum.reduce(paths, axis=0, out=best[j + longest])
+        lengths = lengths & mask if v.exact else longest - lengths
         place = (np.arange(steps)[:, None] * longest + longest - lengths) * lanes + np.arange(lanes)
         chosen = ids[place]
-        self.best = best[-longest:] - best[-longest:].max(axis=0)  # only differences matter
-        self.best[self.best < _NO // 2] = _NO
+        self.best = best[-longest:]
+        if v.exact:
+            self.best = self.best - self.best.max(axis=0)  # only differences matter
+            self.best[self.best < _NO // 2] = _NO
         self.ends[:longest], self.ids_ahead[:longest] = self.ends[steps:steps + longest], self.ids_ahead[steps:steps + longest]
-        self.ends[longest:] = _NO
+        self.ends[longest:] = v.no
         self.unread = self.unread[steps:]
         self.lengths, self.ids = np.concatenate([self.lengths, lengths.astype(np.uint8)]), np.concatenate([self.ids, chosen])
         self.position += steps
@@ -268,7 +283,9 @@ class PieceEncoder:
 
     def _lane_starts(self, letters: np.ndarray, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Starts of texts, and boundaries inside them that no piece crosses, so far
-        apart that lanes get ``LANE_LETTERS`` or more."""
+        apart that lanes get ``LANE_LETTERS`` or more; for unigram models all starts of texts."""
+        if not self.v.exact:
+            return np.append(0, ends[:-1] + 1)
         fence = np.zeros(len(code), bool)
         fence[0] = True
         fence[ends[:-1] + 1] = True
